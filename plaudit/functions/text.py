@@ -108,6 +108,11 @@ def _decompose_to_ascii(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
+# Declared so that Catalyst never copies the chain into a filter pushed below it: a filter on
+# cleaned text would otherwise clean every text twice.
+_decompose_to_ascii = _decompose_to_ascii.asNondeterministic()
+
+
 def to_ascii(text: Column) -> Column:
     """Compatibility-decompose and drop what is still outside ASCII.
 
@@ -158,7 +163,8 @@ def clean_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Each stage is its own projection over all columns: a stage reads its input more than once,
     and one projection per stage keeps Catalyst from repeating the stages below it. The Python
-    step of all columns shares one Arrow pass.
+    step of all columns shares one Arrow pass. Filters do not move below it, so filter on other
+    columns first.
     """
     if not columns:
         return df

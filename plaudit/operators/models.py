@@ -1,7 +1,9 @@
 """Pluggable models: text embedding and sentiment classification as Arrow-batched jobs.
 
 The caller supplies a factory without arguments. It runs once per Python worker process, not
-per task or batch, so a large model is loaded once and used for every task of the worker.
+per task or batch, so a large model is loaded once and used for every task of the worker. The
+functions are declared nondeterministic, which makes Spark call them once per row: a filter on
+their result is never pushed below them as a second call.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def embed_texts(
                 vectors.extend(np.asarray(encoder(part), dtype=np.float32))
             yield pd.Series(vectors, dtype=object)
 
-    return rows.withColumn(output, embed(F.col(text_column)))
+    return rows.withColumn(output, embed.asNondeterministic()(F.col(text_column)))
 
 
 def topic_seeds(
@@ -95,7 +97,7 @@ def score_sentiment(
                 }
             )
 
-    scored = rows.withColumn("_scored", classify(F.col(text_column)))
+    scored = rows.withColumn("_scored", classify.asNondeterministic()(F.col(text_column)))
     return scored.withColumns(
         {
             "sentiment": F.col("_scored.label"),

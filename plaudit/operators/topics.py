@@ -100,7 +100,8 @@ def _best_topic(matrix: np.ndarray):
             names=["index", "similarity"],
         )
 
-    return best
+    # One call per row, also below filters on the assigned topic.
+    return best.asNondeterministic()
 
 
 def assign_topics(
