@@ -105,8 +105,8 @@ def stacked(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> Dat
 def company_stats(reviews: DataFrame, ordered: bool = False) -> DataFrame:
     """Eleven rounded metrics per sector and company; one aggregation with map-side combine.
 
-    Reviews without a company are left out. ``ordered`` adds the best-rated-first sort, which
-    later aggregations do not need.
+    Reviews without a sector or company are left out. ``ordered`` adds the best-rated-first sort,
+    which later aggregations do not need.
     """
     if "review_word_count" not in reviews.columns:
         reviews = add_length_features(reviews)
@@ -127,7 +127,9 @@ def company_stats(reviews: DataFrame, ordered: bool = False) -> DataFrame:
         },
     }
     stats = (
-        reviews.where(F.col("company").isNotNull())
+        # Stated here for both keys, so that no consumer adds a null filter of its own and thereby
+        # loses the reuse of this shuffle.
+        reviews.where(F.col("category").isNotNull() & F.col("company").isNotNull())
         .groupBy(*COMPANY)
         .agg(
             *(round2(metric).alias(name) for name, metric in metrics.items()),

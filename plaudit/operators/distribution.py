@@ -8,6 +8,8 @@ distinct values of one bucket, or one row per bucket, however many rows share a
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,9 +17,14 @@ BUCKET_WIDTH = 64
 
 
 def frequencies(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per distinct non-null value: ``keys, value, n``."""
+    """One row per distinct non-null value in a group with non-null keys: ``keys, value, n``.
+
+    Null keys are left out here rather than by the later joins: every branch of a plan then holds
+    the same filters and shares this shuffle.
+    """
+    known = reduce(and_, (F.col(c).isNotNull() for c in dict.fromkeys([*keys, value])))
     return (
-        rows.where(F.col(value).isNotNull())
+        rows.where(known)
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -37,7 +44,9 @@ def ranked(
     """
     keys = list(keys)
     before = (Window.unboundedPreceding, -1)
-    values = values.withColumn("bucket", F.floor(F.col(value) / bucket_width))
+    zero = F.lit(0).cast("long")
+    # Values are never null here; saying so keeps the join from adding a null filter to one branch.
+    values = values.withColumn("bucket", F.coalesce(F.floor(F.col(value) / bucket_width), zero))
     buckets = values.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
     over_buckets = Window.partitionBy(*keys)
     offsets = buckets.select(
@@ -47,7 +56,6 @@ def ranked(
         F.sum("in_bucket").over(over_buckets).alias("total"),
     )
     in_bucket = Window.partitionBy(*keys, "bucket").orderBy(value, *first).rowsBetween(*before)
-    zero = F.lit(0).cast("long")
     return (
         values.withColumn("smaller", F.sum("n").over(in_bucket))
         .join(offsets, [*keys, "bucket"])
@@ -95,7 +103,10 @@ BOX_POINTS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 def with_whiskers(
     boxes: DataFrame, values: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:
-    """Add whiskers (extremes within 1.5 IQR of the box) and the number of outliers."""
+    """Add whiskers (extremes within 1.5 IQR of the box) and the number of outliers.
+
+    ``values`` are the distinct values with their count ``n``.
+    """
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v, n = F.col(value), F.col("n")
     low, high = v >= F.col("q1") - reach, v <= F.col("q3") + reach
@@ -114,8 +125,9 @@ def with_whiskers(
 
 def box_statistics(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``keys, n, q1, median, q3, whisker_low, whisker_high, n_outliers`` per group."""
-    values = ranked(frequencies(rows, keys, value), keys, value)
-    boxes = quantiles(values, keys, value, BOX_POINTS).withColumnRenamed("total", "n")
+    values = frequencies(rows, keys, value)
+    ranks = ranked(values, keys, value)
+    boxes = quantiles(ranks, keys, value, BOX_POINTS).withColumnRenamed("total", "n")
     return with_whiskers(boxes, values, keys, value)
 
 
@@ -156,8 +168,11 @@ def histogram(rows: DataFrame, keys: Sequence[str], value: str, bins: int) -> Da
             F.when((v >= edge(F.col("bin") + 1)) & (F.col("bin") < bins - 1), F.col("bin") + 1)
             .otherwise(F.col("bin")),
         )
-        .groupBy(*keys, "bin")
+        # The total is a key so that both uses of the ranges stay the same aggregation: without a
+        # count, Spark would take the extremes from the rows again.
+        .groupBy(*keys, "bin", "total")
         .agg(F.sum("n").alias("n"))
+        .drop("total")
     )
     grid = ranges.select(
         *keys, "low", "high", "total",

@@ -42,22 +42,26 @@ def percentile_ranks(stats: DataFrame, metrics: Sequence[str] = KPIS) -> DataFra
     )
 
 
-def _ranked_around(long: DataFrame, target: str) -> DataFrame:
-    """Distinct values of the competitors with the target's own value marked in place."""
+def _values_around(long: DataFrame, target: str) -> DataFrame:
+    """Distinct values of the competitors, and the target's own value with weight 0."""
     flagged = long.withColumn("is_target", F.col("company").eqNullSafe(target))
     # The flag is a key: every consumer then shares this one aggregation and its shuffle.
     values = flagged.where(F.col("value").isNotNull()).groupBy(*_KEYS, "value", "is_target").agg(
         F.count(F.lit(1)).alias("rows")
     )
-    values = values.select(
+    return values.select(
         *_KEYS, "value", "is_target",
         F.when(F.col("is_target"), F.lit(0)).otherwise(F.col("rows")).alias("n"),
     )
+
+
+def _ranked_around(values: DataFrame) -> DataFrame:
     return ranked(values, _KEYS, "value", first=[F.desc("is_target")])
 
 
 def _target_rows(values: DataFrame) -> DataFrame:
     """Per sector and metric: target value, percentile and box of the competitors."""
+    values = _ranked_around(values)
     mine = F.col("is_target")
     found = values.groupBy(*_KEYS).agg(
         F.max(F.when(mine, F.col("value"))).alias("target_value"),
@@ -83,14 +87,14 @@ def percentile_dashboard(
     Sectors without the target, and metrics it has no value for, give no row.
     """
     long = stacked(stats, metrics, ["category", "company"])
-    return _target_rows(_ranked_around(long, target)).select(
+    return _target_rows(_values_around(long, target)).select(
         *_KEYS, "target_value", "median", "percentile", "n_competitors"
     )
 
 
 def word_count_positioning(stats: DataFrame, target: str) -> DataFrame:
     """Target words per review in each tier against the box of the competitors."""
-    values = _ranked_around(stacked(stats, WORD_TIERS, ["category", "company"]), target)
+    values = _values_around(stacked(stats, WORD_TIERS, ["category", "company"]), target)
     boxes = _target_rows(values).drop("target_below")
     return with_whiskers(boxes, values, _KEYS, "value")
 
@@ -102,7 +106,7 @@ def stars_positioning(stats: DataFrame, target: str) -> DataFrame:
     """
     rated = stats.withColumn(_EVERYONE, F.lit(0.0))
     long = stacked(rated, ["avg_stars", _EVERYONE], ["category", "company"])
-    rows = _target_rows(_ranked_around(long, target))
+    rows = _target_rows(_values_around(long, target))
     stars, everyone = F.col("metric") == "avg_stars", F.col("metric") == _EVERYONE
     one = rows.groupBy("category").agg(
         F.max(F.when(stars, F.col("target_value"))).alias("target_value"),
@@ -145,11 +149,13 @@ def sentiment_split(stats: DataFrame, target: str) -> DataFrame:
         )
         .where(F.col("target").isNotNull())
     )
-    long = stacked(stats.where(~mine), SPLIT, ["category", "company"])
+    # All companies and the same four metrics as in the picks, so that both read one aggregation;
+    # the target itself weighs nothing.
+    long = stacked(stats, ["avg_stars", *SPLIT], ["category", "company"])
     points = {"median": 0.5}
-    ranks = ranked(frequencies(long, _KEYS, "value"), _KEYS, "value")
     medians = (
-        ranks.groupBy(*_KEYS)
+        _ranked_around(_values_around(long, target))
+        .groupBy(*_KEYS)
         .agg(F.max("total").alias("total"), *quantile_aggregates("value", points))
         .withColumns(quantile_columns(points))
         .groupBy("category")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from plaudit.constants import HTML_ENTITIES, STOP_WORDS
+from plaudit.constants import HTML_ENTITIES, SIMILARITY_THRESHOLD, STOP_WORDS
 from plaudit.functions.text import WHITESPACE_CLASS as WS
 
 TARGET = "src0"
-THRESHOLD = 0.5
 METRICS = (
     "avg_stars", "pct_positive", "pct_neutral", "pct_negative", "avg_review_words",
     "avg_title_words", "review_word_count", "wc_positive", "wc_neutral", "wc_negative",
@@ -136,8 +135,8 @@ TABLES["scored"] = """
 TABLES["assembled"] = f"""
     SELECT v.review_id, v.category, v.company, v.description, v.title, v.review, v.stars,
            v.company = '{TARGET}' AS is_target,
-           CASE WHEN similarity >= {THRESHOLD} THEN topic_id ELSE -1 END AS topic_id,
-           CASE WHEN similarity >= {THRESHOLD} THEN concat('topic_', topic_id)
+           CASE WHEN similarity >= {SIMILARITY_THRESHOLD} THEN topic_id ELSE -1 END AS topic_id,
+           CASE WHEN similarity >= {SIMILARITY_THRESHOLD} THEN concat('topic_', topic_id)
                 ELSE 'General / Other' END AS macro_topic,
            similarity AS topic_similarity,
            CASE WHEN stars >= 4 THEN 'positive' WHEN stars = 3 THEN 'neutral' ELSE 'negative' END AS sentiment,

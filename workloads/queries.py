@@ -27,8 +27,6 @@ from workloads.stubs import letter_encoder, vowel_classifier
 TARGET = "src0"
 SECTOR = "en"
 LANGUAGES = ("en", "fr", "de", "es")
-# The vectors of the test tables are all close to some topic; a high bar leaves some without.
-THRESHOLD = 0.5
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -74,7 +72,7 @@ def assembled(spark: SparkSession, folder: str) -> DataFrame:
     flagged = topics.flag_target(with_vectors(spark, folder), TARGET)
     found = topics.collect_topics(centroids(spark, folder))
     return cleaning.add_star_sentiment(
-        topics.assign_topics(flagged, found, THRESHOLD).drop("embedding")
+        topics.assign_topics(flagged, found).drop("embedding")
     )
 
 
