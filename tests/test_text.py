@@ -11,12 +11,12 @@ CASES = [
     (None, ""),
     ("", ""),
     ("   ", ""),
-    ("  ", ""),
+    ("\u00a0\u2003", ""),
     (r"  Hello!!! Visit https://example.com <br>\n  Ôla  ", "Hello!!! Visit Ola"),
     ("1 &lt; 2 and 3 &gt; 1 &amp;lt;b&amp;gt; ok", "1 1 ok"),
-    ("http://x.y z ﬁne ½ 𝐀 ™ … x", "z fine 12 A TM ... x"),
+    ("http://x.y\u00a0z ﬁne ½ 𝐀 ™ … x", "z fine 12 A TM ... x"),
     ("a\x0bb\x1cc", "a b c"),
-    ("a b", "ab"),
+    ("a\u2028b", "ab"),
     ("a&nbsp;b", "a b"),
     ("say &quot;hi&quot; it&#39;s", "say hi it's"),
     ("mail me.x@y.org, now", "mail now"),
@@ -58,7 +58,7 @@ def test_chain_equals_its_single_steps(spark):
 
     rng = random.Random(7)
     pieces = ["http://", "https://", "www.", "@", ".", "<", ">", "&amp;", "&lt;", "\\n", "\n",
-              " ", " ", " ", "a", "B", "é", "ﬁ", "™", "!", "#", "\x1c", "\x85", "日"]
+              " ", "\u00a0", "\u2028", "a", "B", "é", "ﬁ", "™", "!", "#", "\x1c", "\x85", "日"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(3000)]
     texts += [c for c, _ in CASES]
     assert run(spark, texts, lambda df: X.clean_text(df, ["t"])) == run(spark, texts, one_by_one)
@@ -93,7 +93,7 @@ def test_to_ascii_is_a_map_of_code_points(spark):
 
 
 def test_blank_symbols_keeps_length_and_whitespace(spark):
-    texts = ["a€b c", "x\ty#z", "𝐀𝐀", "plain"]
+    texts = ["a€b\u2003c", "x\ty#z", "𝐀𝐀", "plain"]
     found = run(spark, texts, lambda df: df.withColumn("t", X.blank_symbols(F.col("t"))))
     assert found == ["a b c", "x\ty z", "  ", "plain"]
 
@@ -105,7 +105,7 @@ def test_hostile_texts_stay_linear(spark):
 
 
 def test_words_and_lengths(spark):
-    texts = [None, "", "  ", "one", " two words ", "a\x1cb\x85c", "𝐀é"]
+    texts = [None, "", "  ", "one", " two\u00a0words ", "a\x1cb\x85c", "𝐀é"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = rows.select("i", X.word_count(F.col("t")).alias("w"), X.char_length(F.col("t")).alias("c"))
     assert [r.w for r in found.orderBy("i").collect()] == [len((t or "").split()) for t in texts]
@@ -113,7 +113,7 @@ def test_words_and_lengths(spark):
 
 
 def test_blankness(spark):
-    texts = [None, "", "  \x1c", "x"]
+    texts = [None, "", " \u2003\x1c", "x"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = rows.orderBy("i").select(X.is_blank(F.col("t")).alias("b")).collect()
     assert [r.b for r in found] == [True, True, True, False]
