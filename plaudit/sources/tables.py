@@ -13,7 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as reviews: language is the sector, source the company."""
-    documents = spread(table(spark, folder, "documents"))
+    documents = spread(table(spark, folder, "documents"), "doc_id")
     return documents.select(
         F.col("doc_id").alias("review_id"),
         F.col("lang").alias("category"),

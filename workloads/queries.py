@@ -89,24 +89,24 @@ def merged(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def clean_text_documents(spark, folder):
-    return X.clean_text(spread(table(spark, folder, "documents")).select("doc_id", "text"), ["text"])
+    return X.clean_text(spread(table(spark, folder, "documents"), "doc_id").select("doc_id", "text"), ["text"])
 
 
 @query
 def clean_text_pages(spark, folder):
-    return X.clean_text(spread(table(spark, folder, "pages")).select("page_id", "html"), ["html"])
+    return X.clean_text(spread(table(spark, folder, "pages"), "page_id").select("page_id", "html"), ["html"])
 
 
 @query
 def clean_text_conversations(spark, folder):
-    rows = spread(table(spark, folder, "conversations")).select("conv_id", "turn", "text")
+    rows = spread(table(spark, folder, "conversations"), "conv_id", "turn").select("conv_id", "turn", "text")
     return X.clean_text(rows, ["text"])
 
 
 @query
 def text_steps(spark, folder):
     html = F.col("html")
-    return spread(table(spark, folder, "pages")).select(
+    return spread(table(spark, folder, "pages"), "page_id").select(
         "page_id",
         X.fix_newlines(html).alias("newlines"),
         X.remove_html(html).alias("no_html"),
