@@ -40,11 +40,15 @@ def _when_contains(text: Column, literal: str, change: Callable[[Column], Column
     return F.when(F.contains(text, F.lit(literal)), change(text)).otherwise(text)
 
 
-def fix_newlines(text: Column) -> Column:
-    """Escaped ``\\n`` / ``\\t`` and real newlines, returns and tabs become spaces."""
+def _unescape(text: Column) -> Column:
     for escaped in ("\\n", "\\t"):
         text = F.replace(text, F.lit(escaped), F.lit(" "))
-    return _blank_out(text, "\n\r\t")
+    return text
+
+
+def fix_newlines(text: Column) -> Column:
+    """Escaped ``\\n`` / ``\\t`` and real newlines, returns and tabs become spaces."""
+    return _blank_out(_unescape(text), "\n\r\t")
 
 
 def decode_entities(text: Column) -> Column:
@@ -139,15 +143,9 @@ def _squeeze_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(_blank_out(text, _ASCII_SYMBOLS), "  +", " "))
 
 
-def _unescape(text: Column) -> Column:
-    # Real newlines count as whitespace in every later step, so only the escapes matter here.
-    for escaped in ("\\n", "\\t"):
-        text = F.replace(text, F.lit(escaped), F.lit(" "))
-    return text
-
-
 _STAGES: tuple[Callable[[Column], Column], ...] = (
-    _unescape,
+    # Real newlines count as whitespace in every later step, so only the escapes matter here.
+    lambda text: _when_contains(text, "\\", _unescape),
     lambda text: _when_contains(text, "&", decode_entities),
     strip_tags,
     remove_http_urls,
@@ -189,6 +187,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def cleaned_word_count(text: Column) -> Column:
+    """Word count of a text out of :func:`clean_text`: one space between words, none outside."""
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+
+
 def char_length(text: Column) -> Column:
     return F.length(F.coalesce(text, F.lit("")))
 
@@ -200,8 +203,10 @@ def bare_token(word: Column) -> Column:
 
 def is_countable(token: Column, stop_words: Sequence[str], min_length: int) -> Column:
     """Letters only, long enough and not a stop word."""
-    kept = (F.length(token) >= min_length) & token.rlike(r"^\p{L}+$")
     long_stop_words = [w for w in stop_words if len(w) >= min_length]
-    return kept & ~token.isin(long_stop_words) if long_stop_words else kept
+    kept = F.length(token) >= min_length
+    if long_stop_words:
+        kept = kept & ~token.isin(long_stop_words)
+    return kept & token.rlike(r"^\p{L}+$")  # the costliest test last
 
 

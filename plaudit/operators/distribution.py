@@ -46,7 +46,9 @@ def ranked(
     before = (Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     # Values are never null here; saying so keeps the join from adding a null filter to one branch.
-    values = values.withColumn("bucket", F.coalesce(F.floor(F.col(value) / bucket_width), zero))
+    values = values.withColumn(
+        "bucket", F.coalesce(F.floor(F.col(value) / bucket_width), zero)
+    ).repartition(*keys, "bucket")  # serves both the totals and the ranks of a bucket
     buckets = values.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
     over_buckets = Window.partitionBy(*keys)
     offsets = buckets.select(

@@ -44,7 +44,7 @@ def explore_sector(
     With ``keep`` the cleaned reviews and the company statistics are written once and every
     table reads those instead of cleaning the texts again.
     """
-    features = add_length_features(clean_sector(reviews, category, sectors=sectors))
+    features = add_length_features(clean_sector(reviews, category, sectors=sectors), cleaned=True)
     if keep:
         features = durable(features, "features")
     stats = C.company_stats(features)

@@ -7,8 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plaudit.sources.reviews import spread
 
 
+# Declared, so that opening a table needs no job that reads footers.
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def document_reviews(spark: SparkSession, folder: str) -> DataFrame:

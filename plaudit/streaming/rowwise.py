@@ -9,4 +9,4 @@ from plaudit.operators.cleaning import add_length_features, add_star_sentiment,
 
 def prepare_reviews(reviews: DataFrame) -> DataFrame:
     """Clean, measure and label reviews. No state and no shuffle, so no watermark is needed."""
-    return add_star_sentiment(add_length_features(clean_reviews(reviews)))
+    return add_star_sentiment(add_length_features(clean_reviews(reviews), cleaned=True))

@@ -46,12 +46,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # --- inputs ------------------------------------------------------------------------------------
 
 
+USED_TEXTS = ("title", "review")  # no query below reads the description after cleaning
+
+
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.clean_reviews(document_reviews(spark, folder))
+    return cleaning.clean_reviews(document_reviews(spark, folder), USED_TEXTS)
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.add_length_features(cleaned(spark, folder))
+    return cleaning.add_length_features(cleaned(spark, folder), cleaned=True)
 
 
 def stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +64,7 @@ def stats(spark: SparkSession, folder: str) -> DataFrame:
 def with_vectors(spark: SparkSession, folder: str) -> DataFrame:
     # Joined before cleaning, so only reviews that have a vector are cleaned.
     joined = document_reviews(spark, folder).join(document_vectors(spark, folder), "review_id")
-    return cleaning.clean_reviews(joined)
+    return cleaning.clean_reviews(joined, USED_TEXTS)
 
 
 def centroids(spark: SparkSession, folder: str) -> DataFrame:
