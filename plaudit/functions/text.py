@@ -8,6 +8,8 @@ contain, so texts without it cost one byte scan.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -36,8 +38,11 @@ def _blank_out(text: Column, characters: str) -> Column:
     return F.translate(text, characters, " " * len(characters))
 
 
-def _when_contains(text: Column, literal: str, change: Callable[[Column], Column]) -> Column:
-    return F.when(F.contains(text, F.lit(literal)), change(text)).otherwise(text)
+def _when_contains(
+    text: Column, literals: Sequence[str], change: Callable[[Column], Column]
+) -> Column:
+    present = reduce(or_, (F.contains(text, F.lit(literal)) for literal in literals))
+    return F.when(present, change(text)).otherwise(text)
 
 
 def _unescape(text: Column) -> Column:
@@ -70,7 +75,7 @@ def strip_tags(text: Column) -> Column:
         head = F.left(t, F.length(t) - F.length(rest))
         return F.concat(F.regexp_replace(head, "<[^>]+>", " "), rest)
 
-    return _when_contains(text, "<", change)
+    return _when_contains(text, ["<"], change)
 
 
 def remove_html(text: Column) -> Column:
@@ -78,16 +83,30 @@ def remove_html(text: Column) -> Column:
     return strip_tags(decode_entities(text))
 
 
-def remove_http_urls(text: Column) -> Column:
-    return _when_contains(
-        text, "://", lambda t: F.regexp_replace(t, f"https?://{NON_SPACE}+", " ")
+def _http_urls_out(text: Column) -> Column:
+    return F.regexp_replace(text, f"https?://{NON_SPACE}+", " ")
+
+
+def _www_urls_out(text: Column) -> Column:
+    return F.regexp_replace(text, rf"www\.{NON_SPACE}+", " ")
+
+
+def _emails_out(text: Column) -> Column:
+    # A greedy \S+@\S+\.\S+ always covers a whole token, so this starts only at the start of a
+    # token and takes its first usable @: linear in the text length.
+    return F.regexp_replace(
+        text,
+        rf"(?<!{NON_SPACE}){NON_SPACE}[^@{WHITESPACE_CLASS}]*+@{NON_SPACE}+\.{NON_SPACE}+",
+        " ",
     )
 
 
+def remove_http_urls(text: Column) -> Column:
+    return _when_contains(text, ["://"], _http_urls_out)
+
+
 def remove_www_urls(text: Column) -> Column:
-    return _when_contains(
-        text, "www.", lambda t: F.regexp_replace(t, rf"www\.{NON_SPACE}+", " ")
-    )
+    return _when_contains(text, ["www."], _www_urls_out)
 
 
 def remove_urls(text: Column) -> Column:
@@ -96,15 +115,8 @@ def remove_urls(text: Column) -> Column:
 
 
 def remove_emails(text: Column) -> Column:
-    """Replace every blank-delimited token of the shape ``x@y.z`` by a space.
-
-    A greedy ``\\S+@\\S+\\.\\S+`` always covers a whole token, so the pattern starts only at
-    the start of a token and takes its first usable ``@``: linear in the text length.
-    """
-    pattern = (
-        rf"(?<!{NON_SPACE}){NON_SPACE}[^@{WHITESPACE_CLASS}]*+@{NON_SPACE}+\.{NON_SPACE}+"
-    )
-    return _when_contains(text, "@", lambda t: F.regexp_replace(t, pattern, " "))
+    """Replace every blank-delimited token of the shape ``x@y.z`` by a space."""
+    return _when_contains(text, ["@"], _emails_out)
 
 
 @F.pandas_udf(T.StringType())
@@ -143,14 +155,15 @@ def _squeeze_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(_blank_out(text, _ASCII_SYMBOLS), "  +", " "))
 
 
+# Few stages with few mentions of their input: rules that follow a column to its source expand
+# every mention, so the mentions of all stages multiply in planning time.
 _STAGES: tuple[Callable[[Column], Column], ...] = (
     # Real newlines count as whitespace in every later step, so only the escapes matter here.
-    lambda text: _when_contains(text, "\\", _unescape),
-    lambda text: _when_contains(text, "&", decode_entities),
+    lambda text: _when_contains(text, ["\\", "&"], lambda t: decode_entities(_unescape(t))),
     strip_tags,
-    remove_http_urls,
-    remove_www_urls,
-    remove_emails,
+    lambda text: _when_contains(
+        text, ["://", "www.", "@"], lambda t: _emails_out(_www_urls_out(_http_urls_out(t)))
+    ),
     to_ascii,
     _squeeze_ascii,
 )
