@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders that the workers import from.
+SHIPPED = ("plaudit", "workloads")
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -31,27 +39,57 @@ def build_session(
     return builder.getOrCreate()
 
 
-_local_folder: str | None = None
+def ship_package(spark: SparkSession) -> None:
+    """Make this package, and the query modules beside it, importable in the Python workers.
+
+    The modules travel as one archive, so a worker imports them once and its module-level caches
+    live as long as the worker. Called again for the same session, it does nothing.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_plaudit_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for name in SHIPPED:
+            for path in sorted((top / name).rglob("*.py")):
+                archive.writestr(zipfile.ZipInfo(str(path.relative_to(top))), path.read_bytes())
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="plaudit-"))
+    path = f"{folder}/plaudit-{hashlib.sha256(held.getvalue()).hexdigest()[:16]}.zip"
+    Path(path).write_bytes(held.getvalue())
+    context.addPyFile(path)  # Spark's driver hands it to the workers
+    context._plaudit_shipped = True
 
 
 def durable_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    global _local_folder
+    """The folder that all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    _local_folder = _local_folder or tempfile.mkdtemp(prefix="plaudit-")
-    return _local_folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_durable"
+
+
+def durable_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new path for an intermediate table."""
+    return f"{(folder or durable_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back.
+def durable(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write once to shared storage and read back.
 
     Cuts the lineage, survives lost executors, and lets every reader prune columns. The table
-    stays until its owner removes it.
+    stays until its owner removes it: ``durable_files`` tells where it lies, ``remove_durable``
+    deletes it.
     """
-    path = f"{durable_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = durable_path(df.sparkSession, name, folder)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def durable_files(df: DataFrame) -> list[str]:
+    """The folders of the durable tables that ``df`` reads."""
+    return sorted({file.rsplit("/", 1)[0] for file in df.inputFiles()})
+
+
+def remove_durable(spark: SparkSession, path: str) -> bool:
+    """Delete one durable table; False when there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
