@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaudit.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality
+from plaudit.llm import decontaminate, exact_dedup, html_text, jaccard_join, licenses, line_dedup, packing, pseudonyms, quality
 from plaudit.llm.rows import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,8 @@ REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+# A deployment passes its own secret; this one makes results repeatable.
+PASSPHRASE = "example passphrase"
 
 
 def query(function: Query) -> Query:
@@ -41,6 +43,12 @@ def op2_line_dedup(spark, folder):
     )
 
 
+@query
+def op3_pseudonyms(spark, folder):
+    found = pseudonyms.pseudonymise(table(spark, folder, "documents"), pseudonyms.key_of(PASSPHRASE))
+    return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"), "spans")
+
+
 @query
 def op4_quality(spark, folder):
     docs = table(spark, folder, "documents")
@@ -52,11 +60,26 @@ def op4_quality(spark, folder):
     )
 
 
+@query
+def op5_html_text(spark, folder):
+    return html_text.extract_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op6_pack(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op7_licenses(spark, folder):
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    best = F.try_element_at("licenses", F.lit(1))
+    return found.select(
+        "doc_id", best["name"].alias("license"), best["coverage"].alias("coverage"),
+        F.size("licenses").cast("long").alias("n_licenses"), "licenses",
+    )
+
+
 @query
 def op8_exact_dedup(spark, folder):
     return exact_dedup.exact_dedup(table(spark, folder, "documents")).select(
