@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaudit.llm import decontaminate, exact_dedup, html_text, jaccard_join, licenses, line_dedup, packing, pseudonyms, quality
+from plaudit.llm import context_mixing, decontaminate, exact_dedup, html_text, jaccard_join, licenses, line_dedup, packing, pseudonyms, quality
 from plaudit.llm.rows import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,11 @@ def op9_jaccard_groups(spark, folder):
     return jaccard_join.jaccard_groups(table(spark, folder, "documents"))
 
 
+@query
+def op10_context_mixing(spark, folder):
+    return context_mixing.score_documents(table(spark, folder, "documents"))
+
+
 ORACLES["op1_decontaminate"] = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(
