@@ -182,25 +182,41 @@ def _crossing_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFr
         .join(known.withColumnRenamed("node", "set_id"), "set_id", "left")
         .withColumn("root", F.coalesce("root", "set_id"))
     )
+    # The first l shared shingles of a pair stand at places up to n - overlap + l - 1 in both sets.
+    # So a posting at a place only serves partners up to a size, its reach; and of two partners the
+    # smaller one must reach its own size at least, for the other is no smaller.
+    reach = F.floor((100 + percent) * (F.col("n") - F.col("place") + F.col("level") - 1) / percent).cast("int") - F.col("n")
+    rows = rows.withColumn("reach", reach)
     mixed = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
     rows = durable(rows.join(mixed, "token", "left_semi"), "jaccard-mixed")
-    roots = rows.select("token", "root").distinct()
-    meeting = roots.withColumnRenamed("root", "root_a").join(roots.withColumnRenamed("root", "root_b"), "token").where(
-        "root_a < root_b"
+    small, large = rows.where("reach >= n"), rows
+    spans = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach")]
+    smaller, larger = (
+        side.groupBy("token", "root").agg(*spans).select(
+            "token", *(F.col(c).alias(f"{c}_{name}") for c in ("root", "least", "most", "reach"))
+        )
+        for side, name in ((small, "a"), (large, "b"))
     )
+    meeting = smaller.join(larger, "token").where(
+        "root_a <> root_b AND least_a <= reach_b AND least_b <= reach_a AND most_b >= least_a"
+    ).select("token", "root_a", "root_b")
 
-    def side(name: str) -> DataFrame:
+    def named(rows: DataFrame, name: str) -> DataFrame:
         return rows.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("root", "set_id", "n", "level", "place")))
 
+    overlap = F.ceil(percent * (F.col("n_a").cast("long") + F.col("n_b")) / (100 + percent))
+    level = F.least("level_a", "level_b")
     pairs = (
-        meeting.join(side("a"), ["token", "root_a"])
-        .join(side("b"), ["token", "root_b"])
+        meeting.join(named(small, "a"), ["token", "root_a"])
+        .join(named(large, "b"), ["token", "root_b"])
+        .where("n_a < n_b OR n_a = n_b AND set_id_a < set_id_b")
         .where(_long_enough(percent))
+        .where(F.col("place_a") < F.col("n_a") - overlap + level)
+        .where(F.col("place_b") < F.col("n_b") - overlap + level)
         .groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
         .agg(
             F.count(F.lit(1)).alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"),
-            F.max("place_a").alias("p_a"), F.max("place_b").alias("p_b"),
-            F.min(F.least("level_a", "level_b")).alias("level"),
+            F.max("place_a").alias("p_a"), F.max("place_b").alias("p_b"), F.min(level).alias("level"),
         )
     )
     # All common shingles up to the last one met are counted; the rest is bounded by what follows.
