@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 # White space of the contracts: blank and U+0009 to U+000D.
 SPACES = bytes([32, 9, 10, 11, 12, 13])
 # Bytes of text worked on at once; a longer text is worked on alone and whole.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

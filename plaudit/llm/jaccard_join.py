@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaudit.llm import arrays as A, bloom, tables
 from plaudit.llm.graph import components
@@ -176,20 +176,23 @@ def _central_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossing_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components, by the multi-match, length and place bounds."""
+    """Pairs of nodes of different components, by the place, length and multi-match bounds.
+
+    The k-th shared shingle of a pair stands at places up to n - overlap + k - 1 in both sets. So a
+    pair is met first by a shingle in the bounds of k = 1; only such pairs are then counted. At a
+    place, a posting serves partners up to a size, its reach; and of two partners the smaller one
+    must reach its own size at least, for the other is no smaller.
+    """
     rows = (
         shared.select("token", "set_id", "n", "level", "place")
         .join(known.withColumnRenamed("node", "set_id"), "set_id", "left")
         .withColumn("root", F.coalesce("root", "set_id"))
+        .withColumn("reach", F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent).cast("int") - F.col("n"))
     )
-    # The first l shared shingles of a pair stand at places up to n - overlap + l - 1 in both sets.
-    # So a posting at a place only serves partners up to a size, its reach; and of two partners the
-    # smaller one must reach its own size at least, for the other is no smaller.
-    reach = F.floor((100 + percent) * (F.col("n") - F.col("place") + F.col("level") - 1) / percent).cast("int") - F.col("n")
-    rows = rows.withColumn("reach", reach)
-    mixed = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
-    rows = durable(rows.join(mixed, "token", "left_semi"), "jaccard-mixed")
-    small, large = rows.where("reach >= n"), rows
+    first = rows.where(100 * F.col("reach").cast("long") >= percent * F.col("n").cast("long"))
+    mixed = first.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
+    first = durable(first.join(mixed, "token", "left_semi"), "jaccard-mixed")
+    small, large = first.where("reach >= n"), first
     spans = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach")]
     smaller, larger = (
         side.groupBy("token", "root").agg(*spans).select(
@@ -201,22 +204,33 @@ def _crossing_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFr
         "root_a <> root_b AND least_a <= reach_b AND least_b <= reach_a AND most_b >= least_a"
     ).select("token", "root_a", "root_b")
 
-    def named(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("root", "set_id", "n", "level", "place")))
+    def named(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
     overlap = F.ceil(percent * (F.col("n_a").cast("long") + F.col("n_b")) / (100 + percent))
-    level = F.least("level_a", "level_b")
-    pairs = (
-        meeting.join(named(small, "a"), ["token", "root_a"])
-        .join(named(large, "b"), ["token", "root_b"])
+
+    def within(k) -> Column:
+        return (F.col("place_a") < F.col("n_a") - overlap + k) & (F.col("place_b") < F.col("n_b") - overlap + k)
+
+    columns = ("root", "set_id", "n", "place")
+    met = durable(
+        meeting.join(named(small, "a", *columns), ["token", "root_a"])
+        .join(named(large, "b", *columns), ["token", "root_b"])
         .where("n_a < n_b OR n_a = n_b AND set_id_a < set_id_b")
         .where(_long_enough(percent))
-        .where(F.col("place_a") < F.col("n_a") - overlap + level)
-        .where(F.col("place_b") < F.col("n_b") - overlap + level)
-        .groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
+        .where(within(1))
+        .select("set_id_a", "set_id_b", "n_a", "n_b").distinct(),
+        "jaccard-met",
+    )
+    level = F.least("level_a", "level_b")
+    pairs = (
+        met.join(named(shared, "a", "set_id", "level", "place"), "set_id_a")
+        .join(named(shared, "b", "set_id", "level", "place"), ["set_id_b", "token"])
+        .where(within(level))
+        .groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b")
         .agg(
-            F.count(F.lit(1)).alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"),
-            F.max("place_a").alias("p_a"), F.max("place_b").alias("p_b"), F.min(level).alias("level"),
+            F.count(F.lit(1)).alias("c"), F.max("place_a").alias("p_a"), F.max("place_b").alias("p_b"),
+            F.min(level).alias("level"),
         )
     )
     # All common shingles up to the last one met are counted; the rest is bounded by what follows.

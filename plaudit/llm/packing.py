@@ -22,7 +22,7 @@ from plaudit.llm import arrays as A
 LENGTH = 2048
 END = 1
 # Chunks whose ids a worker remembers, and open windows of a task; both only bound memory.
-MEMO = 400_000
+MEMO = 150_000
 OPEN_WINDOWS = 4096
 
 _tokenizers: dict[str, Tokenizer] = {}
