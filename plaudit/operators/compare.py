@@ -44,10 +44,10 @@ def one_side(summary: DataFrame, is_target: bool) -> DataFrame:
 
 
 def macro_distribution(summary: DataFrame) -> DataFrame:
-    """Review volume per topic with its net and dominant sentiment, largest first."""
+    """Review volume per topic with its net and dominant sentiment, in no order."""
     return summary.select(
         "is_target", "macro_topic", "n_reviews", "net_sentiment", "dominant_sentiment"
-    ).orderBy("is_target", F.desc("n_reviews"), "macro_topic")
+    )
 
 
 def _side(column: str, is_target: bool):
@@ -81,7 +81,7 @@ def topic_heatmap(summary: DataFrame) -> DataFrame:
 
 
 def head_to_head(summary: DataFrame) -> DataFrame:
-    """Net sentiment of both sides and their gap, for the named topics both sides have."""
+    """Net sentiment of both sides and their gap, for the named topics both sides have, in no order."""
     both = (
         summary.where(F.col("macro_topic") != OTHER_TOPIC)
         .groupBy("macro_topic")
@@ -93,9 +93,7 @@ def head_to_head(summary: DataFrame) -> DataFrame:
         )
         .where(F.col("n_reviews_target").isNotNull() & F.col("n_reviews_comp").isNotNull())
     )
-    return both.withColumn(
-        "gap", F.col("net_sentiment_target") - F.col("net_sentiment_comp")
-    ).orderBy("gap", "macro_topic")
+    return both.withColumn("gap", F.col("net_sentiment_target") - F.col("net_sentiment_comp"))
 
 
 def strengths_weaknesses(merged: DataFrame) -> DataFrame:
@@ -123,7 +121,5 @@ def strengths_weaknesses(merged: DataFrame) -> DataFrame:
 def weak_topics(
     merged: DataFrame, min_gap: float = WEAK_GAP, min_reviews: int = 0
 ) -> DataFrame:
-    """Topics whose gap is below ``min_gap``, worst first, with at least ``min_reviews`` own."""
-    return merged.where(
-        (F.col("gap") < min_gap) & (F.col("n_reviews_target") >= min_reviews)
-    ).orderBy("gap", "macro_topic")
+    """Topics whose gap is below ``min_gap``, with at least ``min_reviews`` own, in no order."""
+    return merged.where((F.col("gap") < min_gap) & (F.col("n_reviews_target") >= min_reviews))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plaudit.operators.rootcause import tokens, top_words
@@ -23,33 +24,55 @@ def discover_topics(
 ) -> DataFrame:
     """Cluster reduced embeddings; fitted on the competitors, applied to both sides.
 
-    Adds ``discovered_topic``. The training vectors are kept on disk or in memory while KMeans
+    Adds ``discovered_topic``, null without a vector. The training vectors are kept on disk or in memory while KMeans
     iterates over them, and are recomputed if an executor is lost.
     """
-    if not 1 < k <= MAX_TOPICS:
-        raise ValueError(f"k must be between 2 and {MAX_TOPICS}")
-    vectors = reviews.withColumn("_vector", array_to_vector(F.col(embedding)))
-    fitting = vectors.where(~F.col("is_target")).select("_vector")
-    pca = PCA(k=components, inputCol="_vector", outputCol="_reduced").fit(fitting)
-    training = pca.transform(fitting).select("_reduced").persist(StorageLevel.MEMORY_AND_DISK)
+    if k < 2:
+        raise ValueError("k must be 2 or more")
+    vectors = _narrow(reviews, embedding, "is_target").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = KMeans(
-            k=k, seed=seed, featuresCol="_reduced", predictionCol="discovered_topic"
-        ).fit(training)
+        fitting = vectors.where(~F.col("is_target")).select("_vector")
+        pca = PCA(k=components, inputCol="_vector", outputCol="_reduced").fit(fitting)
+        training = pca.transform(fitting).select("_reduced").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = KMeans(
+                k=k, seed=seed, featuresCol="_reduced", predictionCol="_cluster"
+            ).fit(training)
+        finally:
+            training.unpersist()
     finally:
-        training.unpersist()
-    return model.transform(pca.transform(vectors)).drop("_vector", "_reduced")
+        vectors.unpersist()
+    present = reviews.where(F.col(embedding).isNotNull()).withColumn("_vector", array_to_vector(F.col(embedding)))
+    found = model.transform(pca.transform(present)).withColumn("discovered_topic", F.col("_cluster"))
+    absent = reviews.where(F.col(embedding).isNull()).withColumn("discovered_topic", F.lit(None).cast("int"))
+    return found.select(*absent.columns).unionByName(absent)
+
+
+def _narrow(reviews: DataFrame, embedding: str, *keep: str) -> DataFrame:
+    """Only what fitting needs, for the rows with a vector: no text is cleaned for it."""
+    return reviews.where(F.col(embedding).isNotNull()).select(
+        *keep, array_to_vector(F.col(embedding)).alias("_vector")
+    )
 
 
 def pca_coordinates(
     reviews: DataFrame, embedding: str = "embedding", components: int = 2
 ) -> DataFrame:
-    """Add ``pc1, pc2, ...``: the embedding in its first principal components."""
-    vectors = reviews.withColumn("_vector", array_to_vector(F.col(embedding)))
-    pca = PCA(k=components, inputCol="_vector", outputCol="_reduced").fit(vectors.select("_vector"))
-    projected = pca.transform(vectors).withColumn("_reduced", vector_to_array("_reduced"))
-    names = {f"pc{i + 1}": F.col("_reduced")[i] for i in range(components)}
-    return projected.withColumns(names).drop("_vector", "_reduced")
+    """Add ``pc1, pc2, ...``: the embedding in its first principal components, null without one.
+
+    Of each component the loading that is largest in size is positive, so signs are not arbitrary.
+    """
+    pca = PCA(k=components, inputCol="_vector", outputCol="_reduced").fit(_narrow(reviews, embedding))
+    loadings = pca.pc.toArray()
+    largest = np.abs(loadings).argmax(axis=0)
+    axes = loadings * np.sign(loadings[largest, np.arange(loadings.shape[1])])
+    vector = F.col(embedding)
+
+    def along(axis: np.ndarray):
+        weights = F.array(*(F.lit(float(w)) for w in axis))
+        return F.aggregate(F.zip_with(vector, weights, lambda v, w: v * w), F.lit(0.0), lambda total, v: total + v)
+
+    return reviews.withColumns({f"pc{i + 1}": along(axes[:, i]) for i in range(axes.shape[1])})
 
 
 def topic_keywords(

@@ -13,7 +13,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_WIDTH = 64
+BUCKETS = 1024
 
 
 def frequencies(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -35,23 +35,31 @@ def ranked(
     keys: Sequence[str],
     value: str,
     first: Sequence[Column] = (),
-    bucket_width: float = BUCKET_WIDTH,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add ``below``, the rows strictly smaller, and ``total``, all rows of the group.
 
     ``first`` orders rows of equal value; a row counts those before it, so rows with ``n = 0``
-    must come first. Each bucket spans ``bucket_width`` units of the value.
+    must come first. Each group's range of values is cut into so many ``buckets`` of one width.
     """
     keys = list(keys)
     before = (Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     # Values are never null here; saying so keeps the join from adding a null filter to one branch.
-    values = values.withColumn(
-        "bucket", F.coalesce(F.floor(F.col(value) / bucket_width), zero)
-    ).repartition(*keys, "bucket")  # serves both the totals and the ranks of a bucket
-    buckets = values.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
+    ranges = values.groupBy(*keys).agg(
+        F.min(value).cast("double").alias("lowest"), F.max(value).cast("double").alias("highest")
+    )
+    width = (F.col("highest") - F.col("lowest")) / buckets
+    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lowest"), width)), zero)  # one value: one bucket
+    values = (
+        values.join(ranges, keys)
+        .withColumn("bucket", F.least(place, F.lit(buckets - 1).cast("long")))
+        .drop("lowest", "highest")
+        .repartition(*keys, "bucket")  # serves both the totals and the ranks of a bucket
+    )
+    totals = values.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
     over_buckets = Window.partitionBy(*keys)
-    offsets = buckets.select(
+    offsets = totals.select(
         *keys,
         "bucket",
         F.sum("in_bucket").over(over_buckets.orderBy("bucket").rowsBetween(*before)).alias("offset"),

@@ -1,34 +1,46 @@
 """Pluggable models: text embedding and sentiment classification as Arrow-batched jobs.
 
 The caller supplies a factory without arguments. It runs once per Python worker process, not
-per task or batch, so a large model is loaded once and used for every task of the worker. The
+per task or batch, so a large model is loaded once and used for every task of the worker: the
+package is shipped as an archive that workers import, and keeps the models they loaded. The
 functions are declared nondeterministic, which makes Spark call them once per row: a filter on
 their result is never pushed below them as a second call.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plaudit.constants import TOPIC_SEEDS
 from plaudit.functions.labels import sentiment_number
+from plaudit.plans.session import ship_package
 
 Encoder = Callable[[list[str]], np.ndarray]
 Classifier = Callable[[list[str]], Sequence[Mapping[str, object]]]
 
+# Models that a worker holds at the same time.
+HELD = 4
 _LOADED: dict[str, object] = {}
 
 
+def _factory_key(factory: Callable[[], object]) -> str:
+    """The same for the same factory with the same captured values."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
 def _load_once(key: str, factory: Callable[[], object]):
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = factory()
-    return _LOADED[key]
+    """The worker's model of this key; of more than ``HELD``, the one unused longest goes."""
+    model = _LOADED.pop(key) if key in _LOADED else factory()
+    _LOADED[key] = model
+    while len(_LOADED) > HELD:
+        del _LOADED[next(iter(_LOADED))]
+    return model
 
 
 def _slices(texts: list[str], size: int) -> Iterator[list[str]]:
@@ -43,7 +55,8 @@ def embed_texts(
     batch_size: int = 64,
 ) -> DataFrame:
     """Add one float vector per text. The encoder maps a list of texts to an (n, d) array."""
-    key = uuid.uuid4().hex
+    ship_package(rows.sparkSession)
+    key = _factory_key(encoder_factory)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -80,7 +93,8 @@ def score_sentiment(
     The classifier maps a list of texts to one ``{"label", "score"}`` each; truncation is its
     own matter. Blank texts are scored as the word "neutral".
     """
-    key = uuid.uuid4().hex
+    ship_package(rows.sparkSession)
+    key = _factory_key(classifier_factory)
 
     @F.pandas_udf(T.StructType([
         T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType()),

@@ -33,10 +33,13 @@ def extract_reviews(
     macro_topic: str | None = None,
     sentiment: str = "negative",
     columns: Sequence[str] = REVIEW_COLUMNS,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Reviews of a topic (all topics if None) with one sentiment or ``'all'``, worst first.
+    """Reviews of a topic (all topics if None) with one sentiment or ``'all'``.
 
-    The review id breaks ties of the sort, which also keeps its range partitions even.
+    ``ordered`` sorts them, worst first. A global sort first samples its input, which computes the
+    rows twice; sort a table that is written already. The review id breaks ties, which also keeps
+    the range partitions even.
     """
     rows = assembled
     if macro_topic is not None:
@@ -45,7 +48,8 @@ def extract_reviews(
         rows = rows.where(F.col("sentiment") == sentiment)
     key = [c for c in ("review_id",) if c in rows.columns]
     kept = [*key, *(c for c in columns if c in rows.columns)]
-    return rows.select(*kept).orderBy("stars", *key)
+    kept_rows = rows.select(*kept)
+    return kept_rows.orderBy("stars", *key) if ordered else kept_rows
 
 
 def tokens(
@@ -105,7 +109,7 @@ def root_cause(
 ) -> RootCause:
     """Weak topics, the target's negative reviews in them, and the words of both sides.
 
-    ``max_reviews`` shows that many of the worst reviews per topic; by default all are kept.
+    ``assembled`` is read for each of them: pass a table that is written already. ``max_reviews`` shows that many of the worst reviews per topic; by default all are kept.
     The weak-topic list has at most one row per topic; Spark sizes it before it broadcasts.
     """
     weak = weak_topics(merged, min_gap, min_reviews)
@@ -119,6 +123,5 @@ def root_cause(
             negative.withColumn("shown", F.row_number().over(w))
             .where(F.col("shown") <= max_reviews)
             .drop("shown")
-            .orderBy("macro_topic", "stars", *key)
         )
     return RootCause(weak, negative, word_frequencies(in_weak, top_words_n))

@@ -53,7 +53,8 @@ class Topics(NamedTuple):
 def collect_topics(centroids: DataFrame) -> Topics:
     """Bring the centroids to the driver: one row per topic, a fixed list of business topics.
 
-    Spark itself fails the collect beyond ``spark.driver.maxResultSize``.
+    The expected size is tens of rows, thousands at most: names become literals of the plan. Spark
+    itself fails the collect beyond ``spark.driver.maxResultSize``.
     """
     rows = centroids.select("topic_id", "macro_topic", "centroid").orderBy("topic_id").collect()
     if not rows:
@@ -79,7 +80,7 @@ def _best_topic(matrix: np.ndarray):
     def best(vectors: pa.Array) -> pa.Array:
         index = np.zeros(len(vectors), dtype=np.int32)
         similarity = np.zeros(len(vectors), dtype=np.float64)
-        missing = vectors.is_null().to_numpy(zero_copy_only=False)
+        missing = vectors.is_null().to_numpy(zero_copy_only=False).copy()
         present = np.flatnonzero(~missing)
         flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False)
         if flat.size != present.size * width:
@@ -89,10 +90,13 @@ def _best_topic(matrix: np.ndarray):
         step = max(1, _BLOCK // n_topics)
         for start in range(0, present.size, step):
             block = rows[start : start + step]
+            at = present[start : start + step]
+            bad = ~np.isfinite(block).all(axis=1)  # null elements are NaN here
+            missing[at[bad]] = True
+            block = np.where(bad[:, None], 0.0, block)
             length = np.linalg.norm(block, axis=1)
             scores = (block / np.where(length == 0, 1.0, length)[:, None]) @ unit
             winner = scores.argmax(axis=1)
-            at = present[start : start + step]
             index[at] = winner
             similarity[at] = scores[np.arange(len(block)), winner]
         return pa.StructArray.from_arrays(
@@ -114,7 +118,7 @@ def assign_topics(
 
     Below ``threshold`` (which itself is enough), or without a vector, the topic is the catch-all
     one; the best similarity is kept either way. The first topic wins a tie; a zero vector has
-    similarity 0. Row-wise: no shuffle.
+    similarity 0. A vector with a null, NaN or infinite element counts as none. Row-wise: no shuffle.
     """
     labels = F.array(
         *(
@@ -143,9 +147,7 @@ def assign_topics(
 
 
 def assignment_distribution(assigned: DataFrame) -> DataFrame:
-    """Reviews and share per assigned topic, for target and competitors."""
+    """Reviews and share per assigned topic, for target and competitors; at most two rows a topic."""
     counted = assigned.groupBy("is_target", "macro_topic").agg(F.count(F.lit(1)).alias("n_reviews"))
     side = Window.partitionBy("is_target")
-    return counted.withColumn(
-        "pct", F.col("n_reviews") / F.sum("n_reviews").over(side) * 100
-    ).orderBy("is_target", F.desc("n_reviews"), "macro_topic")
+    return counted.withColumn("pct", F.col("n_reviews") / F.sum("n_reviews").over(side) * 100)

@@ -44,7 +44,15 @@ def assemble(
     classifier_factory: Callable[[], Classifier] | None = None,
 ) -> DataFrame:
     """Reviews with vectors → the same rows with side, topic and sentiment; row-wise throughout."""
-    flagged = split_target(reviews, target)
+    return _label(split_target(reviews, target), centroids, threshold, classifier_factory)
+
+
+def _label(
+    flagged: DataFrame,
+    centroids: DataFrame,
+    threshold: float,
+    classifier_factory: Callable[[], Classifier] | None,
+) -> DataFrame:
     assigned = assign_topics(flagged, collect_topics(centroids), threshold).drop("embedding")
     if classifier_factory is None:
         return add_star_sentiment(assigned)
@@ -75,9 +83,10 @@ def compare_company(
     if centroids is None:
         seeds = embed_texts(topic_seeds(reviews.sparkSession), "seed", encoder_factory)
         centroids = seed_centroids(seeds)
-    if "embedding" not in reviews.columns:
-        reviews = embed_texts(reviews, "review", encoder_factory)
-    assembled = assemble(reviews, target, centroids, threshold, classifier_factory)
+    flagged = split_target(reviews, target)  # before embedding, so blank reviews cost nothing
+    if "embedding" not in flagged.columns:
+        flagged = embed_texts(flagged, "review", encoder_factory)
+    assembled = _label(flagged, centroids, threshold, classifier_factory)
     if keep:
         assembled = durable(assembled, "assembled")
     summary = topic_summary(assembled)

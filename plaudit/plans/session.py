@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Folders that the workers import from.
 SHIPPED = ("plaudit", "workloads")
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -23,7 +24,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Review texts are long; smaller Arrow batches keep Python workers within their memory.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    _BATCH: "1000",
 }
 
 
@@ -43,8 +44,10 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package, and the query modules beside it, importable in the Python workers.
 
     The modules travel as one archive, so a worker imports them once and its module-level caches
-    live as long as the worker. Called again for the same session, it does nothing.
+    live as long as the worker. Called again for the same session, it ships nothing.
     """
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own default, too much for whole texts
+        spark.conf.set(_BATCH, SETTINGS[_BATCH])
     context = spark.sparkContext
     if getattr(context, "_plaudit_shipped", False):
         return

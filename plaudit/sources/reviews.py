@@ -78,14 +78,3 @@ def require_sector(category: str, sectors: Collection[str] = SECTORS) -> None:
     """ValueError when the sector is unknown; exact and case-sensitive."""
     if category not in sectors:
         raise ValueError(f"unknown category {category!r}; valid are: {', '.join(sectors)}")
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a small scan whose splits would leave cores idle, by ``keys`` if given.
-
-    Looks only at the planned splits. An input with at least one split per core, such as any
-    large table, is returned as it is, without a shuffle. Unique keys spread evenly and, unlike a
-    round-robin, need no sort to be repeatable.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaudit.sources.reviews import spread
-
 
 # Declared, so that opening a table needs no job that reads footers.
 SCHEMAS = {
@@ -22,8 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as reviews: language is the sector, source the company."""
-    documents = spread(table(spark, folder, "documents"), "doc_id")
-    return documents.select(
+    return table(spark, folder, "documents").select(
         F.col("doc_id").alias("review_id"),
         F.col("lang").alias("category"),
         F.col("source").alias("company"),

@@ -88,3 +88,13 @@ def test_no_window_holds_a_whole_group(rows):
     text = plan.optimizedPlan().toString()
     windows = [line for line in text.splitlines() if "Window [" in line]
     assert windows and all("bucket" in line for line in windows)
+
+
+def test_values_in_a_narrow_range_spread_over_many_buckets(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(1_000_000).select((F.col("id") / 1_000_000).alias("v"), F.lit("k").alias("k"))
+    ranks = D.ranked(D.frequencies(rows, ["k"], "v"), ["k"], "v")
+    assert ranks.where("below <> round(v * 1000000)").count() == 0
+    plan = ranks._jdf.queryExecution().toString()
+    assert "hashpartitioning(k" in plan and "bucket" in plan

@@ -71,7 +71,7 @@ def test_discover_topics_finds_separate_groups(clustered):
     assert len(found) == 300
     assert len({(r.i % 3, r.discovered_topic) for r in found}) == 3
     with pytest.raises(ValueError):
-        discovery.discover_topics(clustered, k=13)
+        discovery.discover_topics(clustered, k=1)
 
 
 def test_pca_explains_the_spread(clustered):

@@ -71,25 +71,79 @@ def test_explore_sector(reviews):
     assert lazy.percentile_dashboard.collect() == report.percentile_dashboard.collect()
 
 
-def test_durable_folder_comes_from_the_session(spark, monkeypatch):
-    class Conf:
-        def __init__(self, folder):
-            self.folder = folder
-
-        def get(self, key, default=None):
-            assert key == "spark.checkpoint.dir"
-            return self.folder
-
-    class Fake:
-        def __init__(self, folder, master):
-            self.conf = Conf(folder)
-            self.sparkContext = type("Context", (), {"master": master})
-
-    assert session.durable_folder(Fake("hdfs://shared/x", "yarn")) == "hdfs://shared/x"
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.durable_folder(Fake(None, "spark://cluster:7077"))
-    first = session.durable_folder(Fake(None, "local[2]"))
-    assert first == session.durable_folder(Fake(None, "local[2]"))
+def test_durable_tables_lie_in_the_shared_folder_and_can_be_removed(spark):
+    table = session.durable(spark.range(5), "five")
+    (path,) = session.durable_files(table)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert path.startswith(f"file://{shared}/five-") or path.startswith(f"file:{shared}/five-")
+    assert table.count() == 5
+    assert session.remove_durable(spark, path) and not session.remove_durable(spark, path)
+
+
+def test_blank_reviews_are_not_embedded(spark, reviews, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def factory():
+        encode = letter_encoder()
+
+        def counting(texts):
+            with open(seen, "a") as out:
+                out.writelines("blank\n" for t in texts if not t.strip())
+            return encode(texts)
+
+        return counting
+
+    open(seen, "w").close()
+    compare_company(clean_reviews(reviews), "c0", factory, min_reviews=1)
+    assert open(seen).read() == ""
+
+
+def test_a_classifier_sees_each_row_once(spark, reviews, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def factory():
+        classify = vowel_classifier()
+
+        def counting(texts):
+            with open(seen, "a") as out:
+                out.writelines("x\n" for _ in texts)
+            return classify(texts)
+
+        return counting
+
+    open(seen, "w").close()
+    result = compare_company(
+        clean_reviews(reviews), "c0", letter_encoder, classifier_factory=factory, min_reviews=1
+    )
+    for table in result.root_cause:
+        table.count()
+    assert len(open(seen).readlines()) == 240
+
+
+def test_models_load_once_per_worker(spark, tmp_path):
+    from plaudit.operators.models import embed_texts, score_sentiment
+
+    seen = str(tmp_path / "loads")
+
+    def noted(make, name):
+        def factory():
+            import os
+
+            with open(seen, "a") as out:
+                out.write(f"{name} {os.getpid()}\n")
+            return make()
+
+        return factory
+
+    open(seen, "w").close()
+    rows = spark.range(64).selectExpr("id", "'some text' AS t").repartition(32)
+    both = score_sentiment(
+        embed_texts(rows, "t", noted(letter_encoder, "e")), "t", noted(vowel_classifier, "c")
+    )
+    for _ in range(2):
+        both.write.format("noop").mode("overwrite").save()
+    loads = open(seen).read().splitlines()
+    assert loads and len(loads) == len(set(loads))
 
 
 def test_row_wise_operators_run_on_a_stream(spark, reviews, tmp_path):

@@ -76,12 +76,3 @@ def test_only_needed_columns_are_read(spark, reviews, tmp_path):
 
     plan = star_distribution(S.read_reviews(spark, path))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<category:string,stars:int>" in plan
-
-
-def test_spread_leaves_large_scans_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert S.spread(spark.range(0, 100, 1, cores)).rdd.getNumPartitions() == cores
-    plan = S.spread(spark.range(0, 100, 1, cores + 1))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    assert S.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == cores
-    assert S.spread(spark.range(0, 100, 1, 1), "id").select(F.sum("id")).first()[0] == 4950

@@ -87,3 +87,13 @@ def test_assignment_is_row_wise(spark):
     rows = spark.range(10).select(F.array(F.lit(1.0).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
     plan = T.assign_topics(rows, AXES)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_vectors_that_are_not_finite_count_as_none(spark):
+    bad = [[float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [None, None], [float("-inf"), float("nan")]]
+    found = assign(spark, [*bad, [1.0, 0.0]])
+    assert [(r.topic_id, r.topic_similarity) for r in found[:5]] == [(-1, None)] * 5
+    assert found[5].topic_id == 0
+    rows = spark.createDataFrame(list(enumerate([*bad, [1.0, 0.0]])), "i int, embedding array<float>")
+    (mean,) = T.assign_topics(rows, AXES).agg(F.avg("topic_similarity")).first()
+    assert mean == pytest.approx(1.0)

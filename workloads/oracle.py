@@ -125,13 +125,13 @@ TABLES["means"] = "SELECT topic_id, pos, avg(v) AS value FROM seeds GROUP BY top
 TABLES["cents"] = "SELECT topic_id, list(value ORDER BY pos) AS centroid FROM means GROUP BY topic_id"
 TABLES["vectors"] = """
     SELECT c.*, CAST(e.embedding AS DOUBLE[]) AS embedding
-    FROM cleaned c JOIN embeddings e ON e.vec_id = c.review_id
+    FROM cleaned c LEFT JOIN embeddings e ON e.vec_id = c.review_id
     WHERE trim(c.review) <> ''"""
 TABLES["scored"] = """
     SELECT review_id, topic_id, list_cosine_similarity(embedding, centroid) AS similarity,
            row_number() OVER (PARTITION BY review_id
                               ORDER BY list_cosine_similarity(embedding, centroid) DESC, topic_id) AS r
-    FROM vectors, cents"""
+    FROM vectors, cents WHERE embedding IS NOT NULL"""
 TABLES["assembled"] = f"""
     SELECT v.review_id, v.category, v.company, v.description, v.title, v.review, v.stars,
            v.company = '{TARGET}' AS is_target,
@@ -142,7 +142,7 @@ TABLES["assembled"] = f"""
            CASE WHEN stars >= 4 THEN 'positive' WHEN stars = 3 THEN 'neutral' ELSE 'negative' END AS sentiment,
            CAST(CASE WHEN stars = 3 THEN 0.70 ELSE 0.95 END AS DOUBLE) AS sentiment_score,
            CASE WHEN stars >= 4 THEN 1 WHEN stars = 3 THEN 0 ELSE -1 END AS sentiment_num
-    FROM vectors v JOIN scored s ON s.review_id = v.review_id AND s.r = 1"""
+    FROM vectors v LEFT JOIN scored s ON s.review_id = v.review_id AND s.r = 1"""
 TABLES["shares"] = """
     SELECT is_target, macro_topic, count(*) AS n_reviews,
            avg(CASE WHEN sentiment = 'positive' THEN 1 ELSE 0 END) * 100 AS pct_positive,
@@ -162,7 +162,7 @@ TABLES["merged"] = """
     FROM (SELECT * FROM summary WHERE is_target) t
     JOIN (SELECT * FROM summary WHERE NOT is_target) c USING (macro_topic)
     WHERE macro_topic <> 'General / Other'"""
-TABLES["weak"] = "SELECT * FROM merged WHERE gap < -5 AND n_reviews_target >= 1"
+TABLES["weak"] = "SELECT * FROM merged WHERE gap < -5 AND n_reviews_target >= 3"
 
 
 def tokens(source: str, keep: str) -> str:
@@ -316,7 +316,8 @@ ORACLES["describe_stats"] = statement(
 ORACLES["company_stats"] = statement("SELECT * FROM stats", "stats")
 ORACLES["companies_with_n_reviews"] = statement(
     """SELECT review_id, company FROM raw WHERE company IN
-       (SELECT company FROM raw GROUP BY company HAVING count(*) = 50)""",
+       (SELECT company FROM raw WHERE category = 'en' GROUP BY company HAVING count(*) = 31)
+              AND category = 'en'""",
     "raw",
 )
 ORACLES["company_descriptions"] = statement(
@@ -340,14 +341,14 @@ ORACLES["longest_reviews_companies"] = statement(
 )
 _SUMMARY = f"""(SELECT category, CAST({_BEST} AS INTEGER) AS position, company, review_count, avg_stars,
                        pct_positive, pct_negative, avg_review_words, avg_title_words FROM stats)"""
-ORACLES["company_summary"] = statement(f"SELECT * FROM {_SUMMARY} WHERE position <= 20", "stats")
+ORACLES["company_summary"] = statement(f"SELECT * FROM {_SUMMARY} WHERE position <= 8", "stats")
 ORACLES["company_summary_display"] = statement(
     f"""SELECT category, position, company, review_count, printf('%.2f', avg_stars) AS avg_stars,
                printf('%.1f%%', pct_positive) AS pct_positive,
                printf('%.1f%%', pct_negative) AS pct_negative,
                printf('%.0f', avg_review_words) AS avg_review_words,
                printf('%.0f', avg_title_words) AS avg_title_words
-        FROM {_SUMMARY} WHERE position <= 20""",
+        FROM {_SUMMARY} WHERE position <= 8""",
     "stats",
 )
 
@@ -571,6 +572,15 @@ ORACLES["strengths_weaknesses"] = statement(
     + " UNION ALL " + ranked_list("weakness", "gap", "gap < 0"),
     "merged",
 )
+ORACLES["comparison_merged"] = ORACLES["head_to_head"]
+ORACLES["comparison_summary"] = statement(
+    f"SELECT {_SUMMARY_COLUMNS.removeprefix('is_target, ')} FROM summary WHERE is_target", "summary"
+)
+ORACLES["sector_word_positioning"] = statement(
+    f"SELECT * FROM ({' UNION ALL '.join(word_position(m) for m in ('wc_negative', 'wc_neutral', 'wc_positive'))}) "
+    "WHERE category = 'en'",
+    "stats",
+)
 ORACLES["weak_topics"] = statement(f"SELECT {_MERGED} FROM weak", "weak")
 _SHOWN = f"""review_id, company, stars, macro_topic, {six("topic_similarity")},
     sentiment, sentiment_score, title, review"""
