@@ -14,13 +14,21 @@ BLOCK = 1 << 13  # entries in a row
 SCHEMA = "block long, part long, counts binary"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(counts, 4 * BLOCK, codec="zstd", asbytes=True), np.uint32)
+
+
 def rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A task's table as rows of one block each, without blocks that are all zero."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     blocks = counts.astype(np.uint32).reshape(-1, BLOCK)
     for block in np.flatnonzero(blocks.any(1)).tolist():
         yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([blocks[block].tobytes()], pa.binary())],
+            [pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([_packed(blocks[block])], pa.binary())],
             ["block", "part", "counts"],
         )
 
@@ -32,7 +40,7 @@ def _added(parts: DataFrame, *keys: str) -> DataFrame:
         now, total = None, None
 
         def out() -> pa.RecordBatch:
-            counts = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()
+            counts = _packed(np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32))
             return pa.RecordBatch.from_arrays(
                 [pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array([counts], pa.binary())],
                 ["block", "part", "counts"],
@@ -44,7 +52,7 @@ def _added(parts: DataFrame, *keys: str) -> DataFrame:
                     if now is not None:
                         yield out()
                     now, total = (block, part), np.zeros(BLOCK, np.uint64)
-                total += np.frombuffer(counts, np.uint32)
+                total += _unpacked(counts)
         if now is not None:
             yield out()
 
@@ -60,5 +68,5 @@ def summed(parts: DataFrame, tasks: int, entries: int) -> np.ndarray:
     once = _added(parts.withColumn("part", F.col("part") % salts), "block", "part")
     total = np.zeros(entries, np.uint32)
     for row in _added(once.withColumn("part", F.lit(0).cast("long")), "block", "part").toLocalIterator():
-        total[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.uint32)
+        total[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = _unpacked(row["counts"])
     return total
