@@ -222,21 +222,36 @@ def _crossing_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFr
         .select("set_id_a", "set_id_b", "n_a", "n_b").distinct(),
         "jaccard-met",
     )
+    # Per set its head in the global order, as long as its prefix at most; a pair is one row with both.
+    wanted = met.select(F.explode(F.array("set_id_a", "set_id_b")).alias("set_id")).distinct()
+    heads = shared.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(
+        F.first("level").alias("level"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("head")
+    )
+
+    def of(name: str) -> DataFrame:
+        return heads.select(*(F.col(c).alias(f"{c}_{name}") for c in heads.columns))
+
     level = F.least("level_a", "level_b")
+
+    def leading(name: str) -> Column:
+        bound = F.col(f"n_{name}") - overlap + level
+        return F.transform(F.filter(f"head_{name}", lambda x: x["place"] < bound), lambda x: x["token"])
+
+    def last_place(name: str) -> Column:
+        last = F.array_position(F.transform(f"head_{name}", lambda x: x["token"]), F.try_element_at("common", F.lit(-1)))
+        return F.try_element_at(f"head_{name}", last.cast("int"))["place"]
+
     pairs = (
-        met.join(named(shared, "a", "set_id", "level", "place"), "set_id_a")
-        .join(named(shared, "b", "set_id", "level", "place"), ["set_id_b", "token"])
-        .where(within(level))
-        .groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b")
-        .agg(
-            F.count(F.lit(1)).alias("c"), F.max("place_a").alias("p_a"), F.max("place_b").alias("p_b"),
-            F.min(level).alias("level"),
-        )
+        met.join(of("a"), "set_id_a").join(of("b"), "set_id_b")
+        .withColumn("common", F.array_intersect(leading("a"), leading("b")))
+        .where(F.size("common") >= level)
     )
     # All common shingles up to the last one met are counted; the rest is bounded by what follows.
-    most = F.col("c") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
+    after = F.least(*(F.col(f"n_{name}") - last_place(name) for name in "ab"))
     total = F.col("n_a").cast("long") + F.col("n_b")
-    return pairs.where("c >= level").where((100 + percent) * most >= percent * total).select("a", "b")
+    return pairs.where((100 + percent) * (F.size("common") + after - 1) >= percent * total).select(
+        F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")
+    )
 
 
 def jaccard_groups(
