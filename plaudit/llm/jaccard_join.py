@@ -223,8 +223,7 @@ def _crossing_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFr
         "jaccard-met",
     )
     # Per set its head in the global order, as long as its prefix at most; a pair is one row with both.
-    wanted = met.select(F.explode(F.array("set_id_a", "set_id_b")).alias("set_id")).distinct()
-    heads = shared.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(
+    heads = shared.groupBy("set_id").agg(
         F.first("level").alias("level"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("head")
     )
 
