@@ -8,11 +8,15 @@ full ones, and the last is cut at powers of two, which need no padding; so nothi
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -21,37 +25,75 @@ from plaudit.llm import arrays as A
 
 LENGTH = 2048
 END = 1
-# Chunks whose ids a worker remembers, and open windows of a task; both only bound memory.
-MEMO = 150_000
+# Pieces whose ids a worker remembers in each of two generations, open windows of a task, and bytes
+# of text worked on at once; these only bound memory.
+MEMO = 200_000
 OPEN_WINDOWS = 4096
-
-_tokenizers: dict[str, Tokenizer] = {}
-_memos: dict[str, dict[bytes, list[int]]] = {}
-
-
-def token_ids(texts: pa.Array, path: str) -> Iterator[list[int]]:
+BLOCK_BYTES = 1 << 22
+# Letters, then ASCII symbols to the end. The apostrophe is left out, which a tokenizer may take
+# together with letters, and a capital I with a dot, whose lower case ends in a mark like a symbol.
+LETTERS_SYMBOLS = "^(\\pL*[^\\PL\u0130])([!-&(-/:-@\\[-`{-~]+)$"
+
+_chunks: dict[str, Chunks] = {}
+
+
+class Chunks:
+    """A tokenizer and the ids, as bytes, of the pieces of text that it met last."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark uses all cores already
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some distinct pieces; what is not remembered is encoded."""
+        found = list(map(self.young.get, pieces))
+        new = []
+        for i, (piece, ids) in enumerate(zip(pieces, found, strict=True)):
+            if ids is None:
+                if piece in self.old:
+                    found[i] = self.young[piece] = self.old[piece]
+                else:
+                    new.append(i)
+        for start in range(0, len(new), 10_000):
+            some = new[start : start + 10_000]
+            encoded = self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)
+            for i, one in zip(some, encoded, strict=True):
+                found[i] = self.young[pieces[i]] = array("I", one.ids).tobytes()
+        if len(self.young) > MEMO:
+            self.young, self.old = {}, (self.young if len(self.young) <= 2 * MEMO else {})
+        return found
+
+
+def _spread(sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``sizes`` items lie one after another: the places of the runs ``which``, and their bounds."""
+    firsts, chosen = np.cumsum(sizes) - sizes, sizes[which]
+    bounds = np.concatenate(([0], np.cumsum(chosen)))
+    return np.repeat(firsts[which] - bounds[:-1], chosen) + np.arange(bounds[-1]), bounds
+
+
+def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text, without special tokens; a null is empty.
 
-    The tokenizer drops white space and never joins across it, so each chunk between white space is
-    encoded once and remembered while the worker lives.
+    The tokenizer drops white space and never joins across it, and takes a run of letters apart from
+    the symbols behind it. So each such piece is encoded once and remembered for a while.
     """
-    if path not in _tokenizers:
-        _tokenizers[path], _memos[path] = Tokenizer.from_file(path), {}
-    memo = _memos[path]
-    split = [text.encode().split() if text else [] for text in texts.to_pylist()]
-    new = list({chunk for chunks in split for chunk in chunks if chunk not in memo})
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = list({chunk for chunks in split for chunk in chunks})
-    for start in range(0, len(new), 10_000):
-        some = new[start : start + 10_000]
-        for chunk, encoded in zip(some, _tokenizers[path].encode_batch([c.decode() for c in some], add_special_tokens=False), strict=True):
-            memo[chunk] = encoded.ids
-    for chunks in split:
-        ids: list[int] = []
-        for chunk in chunks:
-            ids += memo[chunk]
-        yield ids
+    if path not in _chunks:
+        _chunks[path] = Chunks(path)
+    words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    chunks = words.flatten().dictionary_encode()
+    parts = pc.ascii_split_whitespace(pc.replace_substring_regex(chunks.dictionary, LETTERS_SYMBOLS, "\\1 \\2"))
+    pieces = parts.flatten().dictionary_encode()
+    found = _chunks[path].ids(pieces.dictionary.to_pylist())
+    flat = np.frombuffer(b"".join(found), np.uint32)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    at, bounds = _spread(sizes, pieces.indices.to_numpy(zero_copy_only=False))
+    by_chunk = bounds[parts.offsets.to_numpy()]
+    of_words, bounds = _spread(np.diff(by_chunk), chunks.indices.to_numpy(zero_copy_only=False))
+    ids = flat[at][of_words]
+    for start, stop in itertools.pairwise(bounds[words.offsets.to_numpy()].tolist()):
+        yield ids[start:stop]
 
 
 class Levels:
@@ -115,8 +157,8 @@ def pack(
 
     Each document is its ids and then ``end``; each of these lies in exactly one piece. A null or
     empty text is ``end`` alone; repeated rows are packed each; null ids are kept. An empty table
-    gives no row. ``tokenizer`` is a file that every worker can read, of a tokenizer that does not
-    join across white space. ``length`` is a power of two.
+    gives no row. ``tokenizer`` is a file that every worker can read, of a tokenizer that drops
+    white space, does not join across it, and takes letters apart from the symbols after them. ``length`` is a power of two.
     """
     schema = (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -140,9 +182,9 @@ def pack(
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for batch in A.blocks(batches):
+        for batch in A.blocks(batches, limit=BLOCK_BYTES):
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), token_ids(batch.column("text"), tokenizer), strict=True):
-                ids = np.array([*found, end], np.uint32)
+                ids = np.append(found, np.uint32(end))
                 doc = (doc_id, len(ids))
                 whole = len(ids) // length * length
                 for start in range(0, whole, length):
