@@ -27,7 +27,7 @@ LENGTH = 2048
 END = 1
 # Pieces whose ids a worker remembers in each of two generations, open windows of a task, and bytes
 # of text worked on at once; these only bound memory.
-MEMO = 200_000
+MEMO = 400_000
 OPEN_WINDOWS = 4096
 BLOCK_BYTES = 1 << 22
 # Letters, then ASCII symbols to the end. The apostrophe is left out, which a tokenizer may take
