@@ -122,6 +122,15 @@ def test_packing_holds_every_token_once(spark):
     assert {(r.doc_id, r.doc_tokens) for r in twice} == {(None, 2), (1, 3)} and sum(r.length for r in twice) == 8
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    rng, whole = random.Random(3), K.Tokenizer.from_file(TOKENS)
+    parts = [*"aBİΣς',.<| \t\x0b\x1c\x851²½é\u0301\u0338日ªʼ_-", "'s", "n't", "!!", "<|endoftext|>", "long", " "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(5000)] + [None, "", " "]
+    found = [ids.tolist() for ids in K.token_ids(pa.array(texts), TOKENS)]
+    assert found == [one.ids for one in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert list(K.token_ids(pa.array([], pa.string()), TOKENS)) == []
+
+
 def test_placement_minimises_the_sum_of_squares():
     rng = random.Random(9)
     levels, counts = K.Levels(16), [0] * 17
