@@ -199,6 +199,31 @@ def test_scores(spark):
     assert M.score_documents(docs.limit(0)).count() == 0
 
 
+def test_bytes_and_weights_come_from_all_training_rows(spark, monkeypatch):
+    texts = [f"w{i % 7} né{i}" for i in range(2600)]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    said, of, fit = {}, M.Code.of, M._fit_weights
+
+    def weights(docs, *others):
+        said["rows"] = docs.count()
+        return fit(docs, *others)
+
+    monkeypatch.setattr(M.Code, "of", lambda words, rest, n, counts: said.update(counts=counts) or of(words, rest, n, counts))
+    monkeypatch.setattr(M, "_fit_weights", weights)
+    M.score_documents(table(spark, texts))
+    assert said["rows"] == len(train) > 2000
+    assert said["counts"][ord("n")] == sum(t.count("n") for t in train) and said["counts"][256] == 2 * len(train)
+
+
+def test_partitions_share_their_weights_by_gate(spark):
+    code = spark.sparkContext.broadcast(M.Code.of([(5, 40)], 4, 10, np.arange(257)))
+    docs = table(spark, ["aa ab ba", "zz zy"] * 30)
+    counts = spark.sparkContext.broadcast(M._counts(docs, code))
+    once, alone = (M._fit_weights(d, code, counts, 1) for d in (docs, docs.coalesce(1)))
+    assert (once != M.start_weights()).any() and np.abs(once - alone).max() < 0.05
+    assert (M._fit_weights(docs.limit(0), code, counts) == M.start_weights()).all()
+
+
 def test_probabilities_of_all_next_bits_sum_to_one():
     code = M.Code.of([(5, 40), (9, 7), (11, 3)], 4, 10, np.arange(257))
     odds = np.random.default_rng(0).normal(size=(M.CONTEXTS, 1 << M.SLOT_BITS)).astype(np.float32)
