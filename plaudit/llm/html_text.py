@@ -49,6 +49,13 @@ NOISE_WORDS = frozenset(
 )
 # Words of a class or id that name the article; a class with such a word alone is never noise.
 ARTICLE_WORDS = frozenset("article articlebody content post entry story main prose body text".split())
+# Whole class names, ids and roles that mark the article, on a container.
+ARTICLE_NAMES = ARTICLE_WORDS - {"text", "body"} | frozenset(
+    "article-body article-content article-text entry-content post-content post-body story-body main-content".split()
+)
+CONTAINERS = frozenset("div section td".split())
+# A class that begins so says what a branch has or lacks, not what it is.
+MODIFIERS = ("has-", "with-", "no-", "without-", "has_", "with_", "no_", "without_")
 # Inside an article these hold its title, not the site's.
 TITLE_WORDS = frozenset({"header", "masthead"})
 _SPACE = re.compile(r"\s+")
@@ -57,12 +64,16 @@ ARTICLE = frozenset({"article", "main"})
 
 
 class _Page(HTMLParser):
-    """Blocks of a page: (path, noise, in an article, text), in page order."""
+    """Blocks of a page: (path, noise, in an article, text), in page order.
+
+    Noise is 1 where only a form or a class around the article says so, 2 else. In an article is 1
+    where a class name marks it, 2 where a tag does.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, label, noise, article
-        self.blocks: list[tuple[tuple[str, ...], bool, bool, str]] = []
+        self.stack: list[tuple[str, str, int, int]] = []  # tag, label, noise, article
+        self.blocks: list[tuple[tuple[str, ...], int, int, str]] = []
         self.parts: list[str] = []
         self.skip = 0
 
@@ -71,8 +82,9 @@ class _Page(HTMLParser):
         self.parts.clear()
         if text:
             path = tuple(f"{label}!" if article else label for tag, label, _, article in self.stack if tag in BLOCKS)
-            noise = any(n for _, _, n, _ in self.stack)
-            self.blocks.append((path, noise, any(a for _, _, _, a in self.stack), text))
+            around = next((k for k, (_, _, _, article) in enumerate(self.stack) if article), 0)
+            noise = max((n if k < around else 2 * bool(n) for k, (_, _, n, _) in enumerate(self.stack)), default=0)
+            self.blocks.append((path, noise, max((a for _, _, _, a in self.stack), default=0), text))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES_P:
@@ -86,19 +98,24 @@ class _Page(HTMLParser):
         if tag == "li" or tag in ("td", "th", "tr", "dd", "dt", "option"):
             self._close_sibling(tag)
         given = dict(attrs)
-        classes = [set(_WORD.findall(c)) for k in ("class", "id", "role") for c in str(given.get(k) or "").lower().split()]
+        names = [c for k in ("class", "id", "role") for c in str(given.get(k) or "").lower().split()]
+        classes = [set(_WORD.findall(c)) for c in names]
         words = set().union(*classes)
         hidden = "hidden" in given or "display:none" in str(given.get("style") or "").replace(" ", "").lower()
         inside = any(a for _, _, _, a in self.stack)
-        named, article = False, tag in ARTICLE
-        for each in classes:
+        named, spared = False, False
+        for name, each in zip(names, classes, strict=True):
+            if name.startswith(MODIFIERS):
+                continue
             away = NOISE_WORDS - TITLE_WORDS if inside or each & ARTICLE_WORDS else NOISE_WORDS
             named |= bool(each & away)
-            article |= bool(each & ARTICLE_WORDS) and not each & away
+            spared |= bool(each & ARTICLE_WORDS) and not each & away
         # A header inside an article holds its title; elsewhere it is the site's.
-        noise = hidden or tag in NOISE_TAGS - {"header"} or (tag == "header" and not inside) or (named and not article)
+        hard = hidden or tag in NOISE_TAGS - {"header", "form"} or (tag == "header" and not inside)
+        noise = 2 if hard else int(tag == "form" or (named and not spared))
+        article = int(tag in CONTAINERS and not noise and bool(ARTICLE_NAMES.intersection(names)))
         if tag in ("html", "body", "article", "main"):
-            noise, article = False, tag in ARTICLE
+            noise, article = 0, 2 * (tag in ARTICLE)
         label = f"{tag}.{'.'.join(sorted(words))}" if words else tag
         self.stack.append((tag, label, noise, article))
         self.skip += tag in RAW
@@ -151,7 +168,7 @@ class _Page(HTMLParser):
         self._flush()
 
 
-def page_blocks(html: str | None) -> list[tuple[tuple[str, ...], bool, bool, str]]:
+def page_blocks(html: str | None) -> list[tuple[tuple[str, ...], int, int, str]]:
     """Blocks of a page in order: path, named as noise, inside an article, text."""
     page = _Page()
     page.feed(html or "")
@@ -159,6 +176,27 @@ def page_blocks(html: str | None) -> list[tuple[tuple[str, ...], bool, bool, str
     return page.blocks
 
 
+def _article(blocks: list) -> list:
+    """The blocks that are the article, so far as tags and classes tell.
+
+    Where a tag marks it, that is the text. Where only a class name does, it has to hold more text
+    than all unmarked blocks. What a form or a class encloses is an article if the page has no other
+    and less text outside.
+    """
+
+    def size(some: list) -> int:
+        return sum(len(b[3]) for b in some)
+
+    clean = [b for b in blocks if not b[1]]
+    if not any(b[2] for b in clean):
+        wrapped = [b for b in blocks if b[1] < 2 and b[2]]
+        return wrapped if size(wrapped) > size(clean) else clean
+    if any(b[2] == 2 for b in clean):
+        return [b for b in clean if b[2]]
+    marked = [b for b in clean if b[2]]
+    return marked if 2 * size(marked) > size(clean) else clean
+
+
 def host(url: Column) -> Column:
     """The host in lower case, '' where there is none."""
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
@@ -247,9 +285,7 @@ def extract_text(
             texts = []
             for html, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
                 cut_off = set(paths or ())
-                blocks = [b for b in page_blocks(html) if not b[1] and _is_text(b[0], cut_off)]
-                if any(b[2] for b in blocks):  # where a page marks its article, that is the text
-                    blocks = [b for b in blocks if b[2]]
+                blocks = [b for b in _article(page_blocks(html)) if _is_text(b[0], cut_off)]
                 texts.append("\n".join(b[3] for b in blocks))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]

@@ -165,6 +165,21 @@ def test_copied_articles_stay(spark):
     assert {r.text for r in H.extract_text(pages).collect()} == {"T\nSame"}
 
 
+def test_loose_class_words_lose_no_article():
+    def text(html):
+        return "\n".join(b[3] for b in H._article(H.page_blocks(html)))
+
+    plain = "<p>First paragraph</p><p>Second paragraph</p>"
+    both = "First paragraph\nSecond paragraph"
+    assert text(f"<body><p class='text-muted'>1 May</p>{plain}</body>") == f"1 May\n{both}"
+    assert text(f"<body><div class='content'>1 May</div>{plain}</body>") == f"1 May\n{both}"
+    assert text(f"<body><p>bar</p><div class='post-content'>{plain}</div></body>") == both
+    for around in ("<div class='layout has-sidebar'>", "<div class='with-comments'>", "<div class='search widget'>", "<form id='aspnetForm'>"):
+        assert text(f"<body>{around}<article>{plain}<div class='share'>Share</div></article></body>") == both, around
+    assert text(f"<body>{plain}<div class='comments'><article>Nice</article></div></body>") == both
+    assert text(f"<body><article>{plain}</article><aside><article>Other {'x' * 99}</article></aside></body>") == both
+
+
 def brute_longest(values):
     best = [1] * len(values)
     for i, v in enumerate(values):
