@@ -1,7 +1,8 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one style tree: a node is the path of tags and classes from the
-root, and beside it stand the contents and the child layouts that pages have there. The importance
+root, and beside it stand the contents and the child layouts that pages have there. A block of one
+wording is a node of its own below its path, inside articles too. The importance
 of a node is the entropy of what its pages show, against the largest that so many pages could show:
 menus and footers that repeat from page to page score near 0, articles near 1. Branches of low
 importance are cut from each page, as are branches whose tag or class says that they are no article.
@@ -246,12 +247,50 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
 
 
-def _is_text(path: tuple[str, ...], low: set[str]) -> bool:
-    """Whether no branch above a block is of low importance.
+def _content_node(path: tuple[str, ...], text: str) -> str:
+    return f"{' '.join(path)} #{_digest(text)}"
 
-    An article (marked by !), what encloses it, and plain tags inside it are kept even if pages
-    repeat them: copied articles are text all the same.
+
+def repeated_blocks(pages: DataFrame, min_pages: int = MIN_PAGES, importance: float = IMPORTANCE) -> DataFrame:
+    """host, path: blocks of one wording (content nodes) that nearly all articles of a host show.
+
+    Pages with the same article count once, so a copied article is no notice of its host.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.blocks(batches, "html"):
+            hosts, nodes, shown = [], [], []
+            for name, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                blocks = _article(page_blocks(html))
+                if blocks:
+                    article = _digest("\1".join(b[3] for b in blocks))
+                    for node in ["", *{_content_node(b[0], b[3]) for b in blocks}]:  # '' counts the articles
+                        hosts.append(name)
+                        nodes.append(node)
+                        shown.append(article)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(nodes, pa.string()), pa.array(shown, pa.int64())],
+                ["host", "path", "article"],
+            )
+
+    found = pages.select("host", "html").mapInArrow(cut, "host string, path string, article long")
+    counts = durable(
+        found.distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages),
+        "content-nodes",
+    )
+    articles = counts.where("path = ''").select("host", F.col("n").alias("articles"))
+    often = counts.where("path <> ''").join(articles, "host")
+    return often.where(F.col("n") > (1 - importance) * F.col("articles")).select("host", "path")
+
+
+def _is_text(path: tuple[str, ...], low: set[str], text: str) -> bool:
+    """Whether no branch above a block is of low importance, nor its own content.
+
+    An article (marked by !), what encloses it, and plain tags inside it are kept as branches even
+    if pages repeat them: copied articles are text all the same.
     """
+    if _content_node(path, text) in low:
+        return False
     inside = max((depth for depth, label in enumerate(path, 1) if label.endswith("!")), default=0)
     for depth in range(max(inside + 1, 3), len(path) + 1):
         if (not inside or "." in path[depth - 1]) and " ".join(path[:depth]) in low:
@@ -277,6 +316,8 @@ def extract_text(
     low = (
         durable(style_tree(named.where("host <> ''")), "style-tree")
         .where((F.col("pages") >= min_pages) & (F.col("importance") < importance))
+        .select("host", "path")
+        .unionByName(repeated_blocks(named.where("host <> ''"), min_pages, importance))
         .groupBy("host").agg(F.collect_set("path").alias("low"))
     )
 
@@ -285,7 +326,7 @@ def extract_text(
             texts = []
             for html, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
                 cut_off = set(paths or ())
-                blocks = [b for b in _article(page_blocks(html)) if _is_text(b[0], cut_off)]
+                blocks = [b for b in _article(page_blocks(html)) if _is_text(b[0], cut_off, b[3])]
                 texts.append("\n".join(b[3] for b in blocks))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]

@@ -180,6 +180,20 @@ def test_loose_class_words_lose_no_article():
     assert text(f"<body><article>{plain}</article><aside><article>Other {'x' * 99}</article></aside></body>") == both
 
 
+def test_notices_repeated_in_plain_tags_are_cut(spark):
+    def page(i):
+        return f"<main><p>Read our terms.</p><h1>T{i}</h1><p>Own {i}</p></main>", f"<div>Free today</div><div>Own {i}</div>"
+
+    rows = [(100 * k + i, f"http://h{k}.example/p", page(i)[k]) for k in (0, 1) for i in range(20)]
+    copied = "<main><p>Read our terms.</p><p>Same</p></main>"
+    rows += [(300 + i, "http://h0.example/p", copied) for i in range(20)]
+    rows += [(400 + i, "http://h4.example/p", copied) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in H.extract_text(pages).collect()}
+    assert found[7] == "T7\nOwn 7" and found[107] == "Own 7" and found[300] == "Same"
+    assert found[400] == "Read our terms.\nSame"
+
+
 def brute_longest(values):
     best = [1] * len(values)
     for i, v in enumerate(values):
