@@ -24,19 +24,33 @@ from plaudit.llm import arrays as A
 
 ROUNDS = 8
 
+_MONTHS = {
+    name: k
+    for k, name in enumerate(
+        "January February March April May June July August September October November December".split(), 1
+    )
+}
+_MONTH = "(?:" + "|".join(_MONTHS) + ")"
+
 # The formats looked for, most particular first.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[^\W_][\w.%+-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![\d.-])(?:19|20)\d{2}-\d{2}-\d{2}(?![\d-])",
+    "daymonth": r"(?<![\d./-])\d{1,2}([./-])\d{1,2}\1(?:19|20)\d{2}(?![\d-]|[./]\d)",
+    "written": rf"(?<![\dA-Za-z])(?:\d{{1,2}}\.? {_MONTH},?|{_MONTH} \d{{1,2}},?) (?:19|20)\d{{2}}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\d-])",
     "intl": r"(?<![\d+])\+\d{8,15}(?!\d)",
+    "pairs": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\d|0\d)(?:[ .-]\d{2}){4}(?![\d-])",
+    "local": r"(?<![\d.+-])[2-9]\d{2}-\d{4}(?![\d-]|\.\d)",
+    "plain": r"(?<![\d.,+-])[2-9]\d{2}[2-9]\d{6}(?![\d-]|[.,]\d)",
 }
-_FOUND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS.items()))
+_KINDS = {name: re.compile(pattern) for name, pattern in PATTERNS.items()}
+_FOUND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS.items()).replace(r"([./-])", "(?P<sep>[./-])").replace(r"\1", "(?P=sep)"))
 _MAYBE = re.compile(r"@|\d{3}|\d[ .-]\d|[0-9a-fA-F]{32}")
 # Countries of bank numbers, for the check of an IBAN.
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -133,6 +147,100 @@ def _letters(key: bytes, text: str, tweak: str, back: bool) -> str:
     return "".join(reversed(out))
 
 
+def _other_date(key: bytes, kind: str, value: str, back: bool) -> str | None:
+    """A date in figures with the year last, or with the month's name; one to one in its own form.
+
+    The form is the width of the day and month, the order and the marks between; dates of the same
+    form are permuted among each other. Where day and month can be told apart neither way, the first
+    number is the month with a slash and the day else.
+    """
+    if kind == "written":
+        month = next(name for name in _MONTHS if name in value)
+        figures = re.findall(r"\d+", value)
+        day, year, m = int(figures[0]), int(figures[1]), _MONTHS[month]
+        shape = re.sub(r"\d", "0", value.replace(month, "M"))
+        first = "written"
+    else:
+        one, two, last = re.split(r"[./-]", value)
+        x, y, year = int(one), int(two), int(last)
+        first = "month" if (y > 12 if x <= 12 and y > 12 else x <= 12 and "/" in value) else "day"
+        m, day = (x, y) if first == "month" else (y, x)
+        shape = re.sub(r"\d", "0", value) + first
+    try:
+        datetime.date(year, m, day)
+    except ValueError:
+        return None
+    domain, index = _dates_of(kind, shape)
+    held = Feistel(key, len(domain), f"date{shape}".encode())
+    place = index[(year, m, day)]
+    year, m, day = domain[(held.undo if back else held.permute)(place)]
+    if kind == "written":
+        name = next(name for name, k in _MONTHS.items() if k == m)
+        said = re.sub("0+", f"{day:0{_width(shape)}d}", shape.replace("0000", "Y"), count=1)
+        return said.replace("Y", str(year)).replace("M", name, 1)
+    one, two, _ = re.split(r"[./-]", value)
+    mark = value[len(one)]
+    parts = (m, day) if first == "month" else (day, m)
+    return f"{parts[0]:0{len(one)}d}{mark}{parts[1]:0{len(two)}d}{mark}{year}"
+
+
+def _width(shape: str) -> int:
+    return len(re.search("0+", shape.replace("0000", "Y"))[0])
+
+
+@lru_cache(maxsize=1000)
+def _dates_of(kind: str, shape: str) -> tuple[list, dict]:
+    """All dates that are written, and read again, in a form."""
+    if kind == "written":
+        width = _width(shape)
+
+        def fits(m: int, d: int) -> bool:
+            return len(str(d)) <= width
+
+    else:
+        one, two = (len(x) for x in re.split(r"[./-]", shape)[:2])
+        month_first = shape.endswith("month")
+
+        def fits(m: int, d: int) -> bool:
+            a, b = (m, d) if month_first else (d, m)
+            if len(str(a)) > one or len(str(b)) > two:
+                return False
+            as_month = b > 12 if a <= 12 and b > 12 else a <= 12 and "/" in shape
+            return as_month == month_first
+
+    days = (datetime.date.fromordinal(k) for k in range(_FIRST_DAY, _LAST_DAY + 1))
+    domain = [(x.year, x.month, x.day) for x in days if fits(x.month, x.day)]
+    return domain, {x: k for k, x in enumerate(domain)}
+
+
+def _national(key: bytes, kind: str, value: str, code: str, digits: str, back: bool) -> str:
+    """A number without separators, of seven digits or of pairs; what its pattern asks of it is kept."""
+    any_digit = re.compile(r"\d")
+    if kind == "local":
+        at = (0,)
+    elif kind == "plain":
+        at = (0, 3)
+    else:
+        at = () if code else (0,)
+    lead = "".join(digits[k] for k in at) if kind == "pairs" else ""
+    size = 8 ** len(at) * 10 ** (len(digits) - len(at)) if kind != "pairs" else 10 ** (len(digits) - len(at))
+    number = 0
+    for k, ch in enumerate(digits):
+        if k in at and kind == "pairs":
+            continue
+        number = number * (8 if k in at else 10) + int(ch) - (2 if k in at else 0)
+    held = Feistel(key, size, f"{kind}{code}{lead}{len(digits)}".encode())
+    number = (held.undo if back else held.permute)(number)
+    out = []
+    for k in reversed(range(len(digits))):
+        if k in at and kind == "pairs":
+            out.append(digits[k])
+            continue
+        number, figure = divmod(number, 8 if k in at else 10)
+        out.append(str(figure + (2 if k in at else 0)))
+    return _refill(value, code + "".join(reversed(out)), any_digit)
+
+
 @lru_cache(maxsize=100_000)
 def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | None:
     """The value's pseudonym in the same format, or None if it is not valid in its format.
@@ -157,6 +265,8 @@ def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | No
             return None
         held = Feistel(key, _LAST_DAY - _FIRST_DAY + 1, b"date")
         return datetime.date.fromordinal(_FIRST_DAY + (held.undo if back else held.permute)(day - _FIRST_DAY)).isoformat()
+    if kind in ("daymonth", "written"):
+        return _other_date(key, kind, value, back)
     if kind == "ip":
         parts = value.split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
@@ -176,10 +286,12 @@ def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | No
         off = (int(digits[-1]) - int(luhn_digit(digits[:-1]))) % 10
         body = _number(key, digits[:-1], "card", back)
         return _refill(value, body + str((int(luhn_digit(body)) + off) % 10), any_digit)
-    if kind in ("phone", "intl"):
+    if kind in ("phone", "intl", "pairs", "local", "plain"):
         # The country code in front stays, all else of the number is permuted.
         front = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value)
         code = re.sub(r"\D", "", front[0]) if front else ""
+        if kind in ("local", "plain", "pairs"):
+            return _national(key, kind, value, code, digits[len(code) :], back)
         return _refill(value, code + _number(key, digits[len(code) :], f"phone{code}", back), any_digit)
     return _refill(value, _number(key, digits, kind, back), any_digit)
 
@@ -189,11 +301,21 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     if not _MAYBE.search(text):
         return text, []
     out, spans, done, length = [], [], 0, 0
-    for match in _FOUND.finditer(text):
-        kind = match.lastgroup
+    at = 0
+    while match := _FOUND.search(text, at):
+        kind = next(name for name in PATTERNS if match[name] is not None)
         made = pseudonym(key, kind, match[0], back)
-        if made is None:
-            continue
+        if made is None:  # other formats from the same place, then all from the next character
+            for kind in list(PATTERNS)[list(PATTERNS).index(kind) + 1 :]:
+                again = _KINDS[kind].match(text, match.start())
+                made = again and pseudonym(key, kind, again[0], back)
+                if made is not None:
+                    match = again
+                    break
+            else:
+                at = match.start() + 1
+                continue
+        at = match.end()
         before = text[done : match.start()]
         out += [before, made]
         length += len(before)

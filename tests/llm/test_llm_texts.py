@@ -119,6 +119,26 @@ def test_feistel_is_a_permutation(size):
     assert [feistel.undo(y) for y in made] == list(range(size))
 
 
+@pytest.mark.parametrize(
+    "value",
+    ["03/14/1985", "14.03.1985", "3/4/1985", "4.12.1999", "14-03-1985", "14 March 1985", "May 5, 1985", "05 May 1985", "1. April 2001",
+     "5235551055", "555-4510", "+33 1 23 45 67 89", "01 23 45 67 89"],
+)
+def test_usual_dates_and_phones_are_masked_and_can_be_undone(value):
+    text, spans = P.replace(f"am {value}, und {value}.", KEY)
+    assert len(spans) == 2 and value not in text
+    kind, start, end = spans[0]
+    assert P.pseudonym(KEY, kind, text[start:end], back=True) == value
+    assert P.replace(text, KEY, back=True)[0] == f"am {value}, und {value}."
+
+
+def test_an_invalid_match_hides_nothing():
+    text, spans = P.replace("NO12 4316522678525456 and DE00370400440532013000 jane@x.example", KEY)
+    assert "4316522678525456" not in text and {s[0] for s in spans} >= {"card", "email"}
+    text, spans = P.replace("300.1.1.1 and 2001-02-30 14:00", KEY)
+    assert not spans
+
+
 def test_pseudonymise_leaves_other_texts_alone(spark):
     texts = ["no data here, 12 of 7. version 2.0", None, "", "call +1 (555) 555-0123", "x" * 200_000]
     found = {r.doc_id: r for r in P.pseudonymise(table(spark, texts), KEY).collect()}
