@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaudit.llm import context_mixing, decontaminate, exact_dedup, html_text, jaccard_join, licenses, line_dedup, packing, pseudonyms, quality
+from plaudit.llm import (
+    codebooks, context_mixing, decontaminate, exact_dedup, html_text, jaccard_join, licenses, line_dedup, packing,
+    pseudonyms, quality, token_files, whitening,
+)
 from plaudit.llm.rows import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +18,7 @@ REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 # A deployment passes its own secret; this one makes results repeatable.
 PASSPHRASE = "example passphrase"
 
@@ -97,6 +101,25 @@ def op10_context_mixing(spark, folder):
     return context_mixing.score_documents(table(spark, folder, "documents"))
 
 
+@query
+def op11_token_files(spark, folder):
+    return token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+
+
+@query
+def op12_vector_codes(spark, folder):
+    coded, books = codebooks.compress(table(spark, folder, "embeddings"))
+    return codebooks.with_label_errors(coded).select(
+        "vec_id", codebooks.hex_codes().alias("code"), "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256")
+    )
+
+
+@query
+def op13_whitening(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return whitening.whiten(rows, whitening.fit_whitening(rows))
+
+
 ORACLES["op1_decontaminate"] = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(
@@ -184,3 +207,46 @@ reach AS (
   SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE x = doc_id) AS component_id FROM sets
 """
+
+
+def _codes_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """k-means spelled out: nearest entries, then means, round by round."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+near{t} AS MATERIALIZED (
+  SELECT vec_id, part, x, min(d) AS d, min(d * 256 + entry) % 256 AS entry
+  FROM (SELECT p.vec_id, p.part, p.x, b.entry,
+               list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.x, b.v)])::BIGINT AS d
+        FROM parts p JOIN book{t} b ON p.part = b.part)
+  GROUP BY vec_id, part, x)""")
+        if t < rounds:
+            steps.append(f"""
+book{t + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v
+  FROM book{t} b LEFT JOIN (
+    SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS v
+    FROM (SELECT part, entry, i, sum(x[i])::DOUBLE AS s, count(*) AS n
+          FROM near{t}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM parts))) AS i) GROUP BY part, entry, i)
+    GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, [floor(1024 * c::DOUBLE)::BIGINT FOR c IN embedding] AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, part, x[part * (len(x) // 4) + 1:(part + 1) * (len(x) // 4)] AS x FROM kept, range(4) t(part)),
+book0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS v
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)),
+{",".join(steps)},
+books AS (SELECT sha256(string_agg(c, ',' ORDER BY part, entry)) AS digest
+          FROM (SELECT part, entry, array_to_string(v, ',') AS c FROM book{rounds})),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM near{rounds} JOIN kept USING (vec_id) GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+FROM coded, books
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()

@@ -1,0 +1,374 @@
+"""Token files, vector codes and whitening."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from plaudit.llm import codebooks as C, token_files as T, vectors as V, whitening as W
+from plaudit.llm.queries import BYTE_TOKENIZER, REGISTRY
+
+BYTES = public_tokenizers.path(BYTE_TOKENIZER)
+SF = "/root/testdata/sf0.001"
+EXTRA = "other string, x int, codes string, n long, part int"
+
+
+@pytest.fixture(scope="module")
+def reference():
+    return Tokenizer.from_file(BYTES)
+
+
+def texts_table(spark, rows):
+    given = [(i, t, "z", 1, "c", 5, 2) for i, t in rows]
+    return spark.createDataFrame(given, f"doc_id long, text string, {EXTRA}").repartition(3)
+
+
+def vectors_table(spark, rows):
+    given = [(i, v, l, "z", 1, "c", 5, 2) for i, v, l in rows]
+    return spark.createDataFrame(given, f"vec_id long, embedding array<float>, label int, {EXTRA}").repartition(3)
+
+
+# --- ids of texts ----------------------------------------------------------------------------------
+
+PIECES = ["a", "Bc", "é", "ß", "'", "'s", "'ll", " ", "  ", "\n", "\t", "\r\n", ".", ",", "!?", "12", "-", " ", "　", "\x1c", "漢字", "👍", "á", "\x00", "_", "<|endoftext|>", "<|endo"]
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), min_size=1, max_size=6))
+def test_ids_are_those_of_whole_texts(reference, texts):
+    ids, counts = T.coder(BYTES).ids(pa.array([*texts, None]))
+    want = [reference.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_another_tokenizer_gets_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not T.coder(path).cuts
+    ids, counts = T.coder(path).ids(pa.array(["Hello world", None, "x"]))
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in ("Hello world", "", "x")]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+# --- the code --------------------------------------------------------------------------------------
+
+
+def huffman_cost(counts):
+    import heapq
+
+    heap, cost = list(counts), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a = heapq.heappop(heap) + heapq.heappop(heap)
+        cost += a
+        heapq.heappush(heap, a)
+    return cost
+
+
+def limited_cost(counts, limit):
+    """Every sequence of code lengths that a prefix code can have, tried out."""
+    import itertools
+
+    best = None
+    for lengths in itertools.product(range(1, limit + 1), repeat=len(counts)):
+        if sum(2.0 ** -length for length in lengths) <= 1:
+            cost = sum(a * b for a, b in zip(counts, lengths))
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_lengths_are_the_best_within_the_limit(rng=random.Random(5)):
+    for _ in range(40):
+        counts = np.array([rng.choice([1, 2, 3, 50, 900]) for _ in range(rng.randint(2, 5))])
+        for limit in (3, 4):
+            lengths = T.code_lengths(counts, limit)
+            assert lengths.max() <= limit and (2.0 ** -lengths).sum() <= 1
+            assert (counts * lengths).sum() == limited_cost(counts.tolist(), limit)
+    counts = np.array([rng.randint(1, 10 ** rng.randint(1, 7)) for _ in range(3000)])
+    assert (counts * T.code_lengths(counts, 40)).sum() == huffman_cost(counts.tolist())
+    skewed = np.array([1 << min(i, 50) for i in range(60)])
+    assert T.code_lengths(skewed, 7).max() == 7
+    with pytest.raises(ValueError):
+        T.code_lengths(np.ones(9, np.int64), 3)
+
+
+def test_words_are_canonical():
+    code = T.Code.of({3: 5, 9: 1, 4: 1, 70000: 2}, 12)
+    order = sorted(zip(code.lengths.tolist(), code.ids.tolist()))
+    words = [format(int(code.words[i]), f"0{n}b") for n, i in order]
+    assert words == sorted(words) and not any(b.startswith(a) for a, b in zip(words, words[1:]))
+    with pytest.raises(ValueError):
+        T.Code(np.arange(3), np.ones(3, np.int64))
+
+
+@pytest.mark.parametrize("stride", [1, 7, 64])
+def test_blocks_come_back_from_any_checkpoint(stride, rng=np.random.default_rng(2)):
+    ids = np.minimum(rng.geometric(0.02, 5000) - 1, 40000).astype(np.uint32)
+    ids[::501] = 50256
+    values, counts = np.unique(ids, return_counts=True)
+    code = T.Code.of(dict(zip(values.tolist(), counts.tolist())), 18)
+    cuts = [0, 0, 17, 1200, 1201, 5000]
+    docs = [(None if k == 1 else 10 - k, ids[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    block = T.Block(T.encode_block(docs, code, stride), code)
+    assert block.doc_ids == [10, None, 8, 7, 6] and block.sizes.tolist() == [0, 17, 1183, 1, 3799]
+    assert (block.ids() == ids).all()
+    for start in (0, 1, 63, 64, 65, 4990, 4999, 5000):
+        assert (block.ids(start, start + 130) == ids[start : start + 130]).all()
+    alone = T.Code.of({7: 3}, 12)
+    assert T.Block(T.encode_block([(1, np.full(3, 7, np.uint32))], alone, stride), alone).ids().tolist() == [7, 7, 7]
+    with pytest.raises(ValueError):
+        T.Block(b"x" * 80, code)
+
+
+def test_decoding_leaves_other_stretches_alone(rng=np.random.default_rng(3)):
+    ids = rng.integers(0, 300, 20_000).astype(np.uint32)
+    code = T.Code.of(dict(enumerate(np.bincount(ids).tolist())), 12)
+    payload = bytearray(T.encode_block([(1, ids)], code))
+    block = T.Block(bytes(payload), code)
+    first = len(payload) - len(block.stream) + int(block.marks[100]) // 8 - 40
+    payload[first - 400 : first] = bytes(400)  # damage before the checkpoint
+    assert (T.Block(bytes(payload), code).ids(6400, 6500) == ids[6400:6500]).all()
+
+
+# --- files -----------------------------------------------------------------------------------------
+
+
+def brute_files(reference, rows):
+    start, out = 0, []
+    for doc_id, text in rows:
+        ids = [*reference.encode(text or "", add_special_tokens=False).ids, 0]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_files_of_the_whole_table(spark, reference):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    found = REGISTRY["op11_token_files"](spark, SF).orderBy("doc_id").collect()
+    assert [tuple(r) for r in found] == brute_files(reference, docs)
+
+
+def test_files_with_odd_rows(spark, reference, tmp_path):
+    long = "word, größer 12 " * 30_000
+    rows = [(-5, None), (0, ""), (3, "a b"), (4, long), (4, long), (9, "<|endoftext|> x"), (None, "end"), (None, None)]
+    folder = str(tmp_path / "files")
+    T.write_tokens(texts_table(spark, rows), folder, BYTES)
+    found = [tuple(r) for r in T.read_tokens(spark, folder).orderBy("start").collect()]
+    assert [r[0] for r in found] == [-5, 0, 3, 4, 4, 9, None, None]
+    want = brute_files(reference, rows)
+    assert sorted(r[2:] for r in found) == sorted(r[2:] for r in want)
+    assert found[:6] == want[:6] and [r[1] + r[2] for r in found][:-1] == [r[1] for r in found][1:]
+    ids = {tuple(r.ids) for r in T.read_tokens(spark, folder, with_ids=True).where("doc_id = 3").collect()}
+    assert ids == {(*reference.encode("a b").ids, 0)}
+    assert spark.read.parquet(f"{folder}/blocks").groupBy("file", "block").count().where("count > 1").isEmpty()
+
+
+def test_files_of_nothing(spark, tmp_path):
+    assert T.token_files(texts_table(spark, []), BYTES, folder=str(tmp_path / "none")).count() == 0
+
+
+def test_equal_ids_are_dealt_over_files(spark, tmp_path):
+    rows = [(1, f"some text {i} " * 20) for i in range(3000)] + [(i, "x") for i in range(2, 300)]
+    folder = str(tmp_path / "files")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small files stay apart
+    try:
+        T.write_tokens(texts_table(spark, rows), folder, BYTES)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["n"] for r in spark.read.parquet(f"{folder}/blocks").groupBy("file").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < len(rows) / 2
+
+
+# --- vectors ---------------------------------------------------------------------------------------
+
+
+def test_lattice_leaves_out_what_is_no_vector():
+    rows = [[0.5, -0.1], None, [], [1.0, None], [float("nan"), 0.0], [float("inf"), 0.0], [-0.0, 2.0]]
+    places, x = V.lattice(pa.array(rows, pa.list_(pa.float32())), 256, 1 << 53)
+    assert places.tolist() == [0, 6] and x.tolist() == [[128, -26], [0, 512]]
+    sliced = pa.array(rows, pa.list_(pa.float32())).slice(3)
+    assert V.lattice(sliced, 256, 1 << 53)[0].tolist() == [3]
+    with pytest.raises(ValueError):
+        V.lattice(pa.array([[1.0], [1.0, 2.0]]), 1, 10)
+    with pytest.raises(ValueError):
+        V.lattice(pa.array([[1e9]]), 1024, C.LIMIT)
+
+
+# --- codes -----------------------------------------------------------------------------------------
+
+
+def brute_codes(rows, parts, entries, rounds, scale):
+    kept = [(i, v, l) for i, v, l in rows if v and all(c is not None and np.isfinite(c) for c in v)]
+    x = np.floor(np.array([v for _, v, _ in kept], np.float32).astype(np.float64) * scale).astype(np.int64).reshape(len(kept), parts, -1)
+    order = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, x[k].reshape(-1).tolist()))
+    books = x[order[:entries]].transpose(1, 0, 2).copy()
+
+    def assign():
+        d = ((x[:, :, None, :] - books[None].transpose(0, 1, 2, 3)) ** 2).sum(3)
+        return d.argmin(2), d.min(2)
+
+    for _ in range(rounds):
+        codes, _ = assign()
+        for p in range(parts):
+            for e in range(books.shape[1]):
+                own = x[codes[:, p] == e, p]
+                if len(own):
+                    books[p, e] = own.sum(0) // len(own)
+    codes, errors = assign()
+    return sorted((i, bytes(c.tolist()), int(e.sum())) for (i, _, _), c, e in zip(kept, codes, errors) if i is not None), books
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 6])
+def test_codes_match_plain_rounds(spark, rounds, rng=np.random.default_rng(11)):
+    # Coarse components make many ties and repeated parts.
+    rows = [(i, (rng.integers(-4, 5, 12) / 4).tolist(), int(i % 3)) for i in range(700)]
+    rows += rows[5:40] + [(None, rows[3][1], None), (900, None, 1), (901, [None] * 12, 1), (902, [float("nan")] * 12, 1), (903, [], 0)]
+    found, books = C.compress(vectors_table(spark, rows), 3, 40, rounds, 16)
+    want, want_books = brute_codes(rows, 3, 40, rounds, 16)
+    assert (books.books == want_books).all()
+    assert sorted((r.vec_id, bytes(r.codes), r.error) for r in found.where("vec_id is not null").collect()) == want
+    errors = C.with_label_errors(found).select("label", "error", "label_error").toPandas()
+    assert (errors.groupby("label", dropna=False).error.transform("sum") == errors.label_error).all()
+    assert errors.label.isna().sum() == 1
+    assert found.count() == len(rows) - 4
+
+
+def test_bounds_save_distances_and_true_ways_are_shorter(rng=np.random.default_rng(4)):
+    x = np.concatenate([rng.integers(-900, 900, 16) + rng.integers(-60, 60, (60, 16)) for _ in range(50)])
+    books, part, computed = [x[:256].copy()], None, []
+    for _ in range(7):
+        history = C.History(books)
+        part = C.assign_first(x, history) if part is None else C.assign_again(x, part, history)
+        squares = ((x[:, None] - books[-1]) ** 2).sum(2)
+        assert (part.code == squares.argmin(1)).all()
+        # Every bound, carried to this round, holds.
+        rows = np.arange(len(x))
+        now = np.sqrt(squares.astype(float))
+        assert (part.upper + history.moved[part.upper_at, part.code] >= now[rows, part.code] - 1e-6).all()
+        now[rows, part.code] = np.inf
+        groups = np.minimum.reduceat(now, np.arange(0, 256, C.GROUP), axis=1)
+        lower = part.lower - history.most[part.lower_at, np.arange(groups.shape[1])]
+        assert (lower <= groups + 1e-6).all()
+        # The true way of an entry is at most the sum of its moves.
+        steps = [np.sqrt(((b - a) ** 2).sum(1)) for a, b in zip(books, books[1:])]
+        if len(steps) > 1:
+            drift = np.cumsum(steps[::-1], axis=0)[::-1]
+            assert (history.moved[:-1] <= drift + 1e-9).all() and (history.moved[:-1] < drift - 1e-9).any()
+        computed.append(part.computed)
+        books.append(np.array([x[part.code == j].sum(0) // max(1, (part.code == j).sum()) if (part.code == j).any() else books[-1][j] for j in range(256)]))
+    assert computed[0] == len(x) * 256 and computed[-1] < computed[0] / 4
+
+
+def test_distances_are_exact_for_large_numbers(rng=np.random.default_rng(6)):
+    x, entries = rng.integers(-C.LIMIT, C.LIMIT, (50, 4)), rng.integers(-C.LIMIT, C.LIMIT, (9, 4))
+    want = [[sum((int(a) - int(b)) ** 2 for a, b in zip(row, entry)) for entry in entries] for row in x]
+    assert C.distances(x, entries).tolist() == want
+    assert C.distances(x >> 16, entries >> 16).tolist() == [[sum((int(a) - int(b)) ** 2 for a, b in zip(r, e)) for e in entries >> 16] for r in x >> 16]
+
+
+def test_codes_of_few_rows_and_none(spark):
+    found, books = C.compress(vectors_table(spark, []))
+    assert found.count() == 0 and C.with_label_errors(found).count() == 0 and len(books.sha256) == 64
+    found, books = C.compress(vectors_table(spark, [(1, [0.5, 0.25, -1.0, 1.0], None)]))
+    row = found.withColumn("code", C.hex_codes()).first()
+    assert (row.code, row.error, books.books.reshape(-1).tolist()) == ("00000000", 0, [512, 256, -1024, 1024])
+    assert books.sha256 == hashlib.sha256(b"512,256,-1024,1024").hexdigest()
+    restored = C.restore(found, books).first()["restored"]
+    assert np.abs(np.array(restored) - [0.5, 0.25, -1.0, 1.0]).max() < 1e-3
+    with pytest.raises(ValueError):
+        C.compress(vectors_table(spark, [(1, [0.5, 0.25, 0.1], 0)]))
+
+
+# --- whitening -------------------------------------------------------------------------------------
+
+
+def brute_whitening(rows):
+    kept = [(i, v) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
+    x = np.floor(256 * np.array([v for _, v in kept], np.float32).astype(np.float64)).astype(np.int64)
+    fit = np.unique(x, axis=0)
+    n, sums = len(fit), fit.sum(0)
+    centred = (n * x - sums) / n
+    fitted = (n * fit - sums) / n
+    matrix = fitted.T @ fitted / n
+    values, axes = np.linalg.eigh(matrix)
+    values, axes = values[::-1][:4], axes[:, ::-1][:, :4]
+    deviation = ((n * x - sums) ** 2).sum(1)
+    return [i for i, _ in kept], n, deviation, centred @ axes / np.sqrt(values), values / np.trace(matrix)
+
+
+def test_whitening_of_the_whole_table(spark):
+    found = REGISTRY["op13_whitening"](spark, SF).toPandas()
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    ids, n, deviation, white, explained = brute_whitening(list(zip(rows.vec_id.tolist(), map(list, rows.embedding))))
+    wide = found.pivot(index="vec_id", columns="component", values="whitened").loc[ids].to_numpy()
+    signs = np.sign((wide * white).sum(0))
+    assert np.abs(wide - white * signs).max() < 1e-9
+    assert (found.n == n).all() and found.identity_error.max() < 1e-10
+    by_id = found[found.component == 1].set_index("vec_id").loc[ids]
+    assert (by_id.deviation == deviation).all()
+    assert np.abs(found.groupby("component").explained.first().to_numpy() - explained).max() < 1e-12
+
+
+def test_whitening_with_odd_rows(spark, rng=np.random.default_rng(8)):
+    rows = [(i, rng.normal(size=5).astype(np.float32).tolist(), 0) for i in range(60)]
+    rows += rows[:20] * 3 + [(None, rows[0][1], 1), (70, None, 0), (71, [], 0), (72, [None] * 5, 0), (73, [float("inf")] * 5, 0)]
+    table = vectors_table(spark, rows)
+    fitted = W.fit_whitening(table)
+    found = W.whiten(table, fitted).toPandas()
+    assert fitted.n == 60 and len(found) == 121 * 4  # copies count once in the fit and give rows all the same
+    ids, n, deviation, white, explained = brute_whitening([(i, v) for i, v, _ in rows])
+    assert np.allclose(sorted(np.abs(found.whitened)), sorted(np.abs(white.reshape(-1))), atol=1e-9)
+    assert fitted.identity_error < 1e-10
+
+
+def test_whitening_without_variance(spark):
+    for rows in ([], [(1, [0.5, 0.5], 0)], [(1, [0.5, 0.5], 0), (2, [0.5, 0.5], 0)]):
+        table = vectors_table(spark, rows)
+        assert W.whiten(table, W.fit_whitening(table)).count() == 0
+    # One direction only: the others have no variance.
+    table = vectors_table(spark, [(i, [float(i), float(-i), 1.0], 0) for i in range(10)])
+    found = W.whiten(table, W.fit_whitening(table)).toPandas()
+    assert set(found.component) == {1} and abs(found.explained.iloc[0] - 1) < 1e-12 and found.identity_error.iloc[0] < 1e-10
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 17, 150])
+def test_leading_components(width, rng=np.random.default_rng(9)):
+    a = rng.normal(size=(400, width)) * rng.uniform(0.1, 9, width)
+    matrix = a.T @ a / 400
+    values, axes = W.leading_components(matrix, 4)
+    want, vectors = np.linalg.eigh(matrix)
+    k = min(4, width)
+    assert np.abs(values - want[::-1][:k]).max() < 1e-13 * want[-1]
+    assert np.abs(np.abs((axes * vectors[:, ::-1][:, :k]).sum(0)) - 1).max() < 1e-12
+
+
+@pytest.mark.parametrize("matrix", [
+    np.eye(7), np.diag([5.0, 5, 5, 5, 1, 1]), np.kron(np.eye(4), np.array([[2.0, 1], [1, 2]])),
+    np.diag(np.r_[np.ones(3) + np.arange(3) * 1e-15, np.zeros(5)]), np.eye(21) + np.diag(np.ones(20), 1) + np.diag(np.ones(20), -1),
+])
+def test_clusters_of_eigenvalues_have_orthogonal_vectors(matrix):
+    values, axes = W.leading_components(matrix, 4)
+    assert np.abs(values - np.linalg.eigvalsh(matrix)[::-1][:4]).max() < 1e-14
+    assert np.abs(axes.T @ axes - np.eye(4)).max() < 1e-13
+    assert np.abs(matrix @ axes - axes * values).max() < 1e-13
+
+
+def test_sturm_counts(rng=np.random.default_rng(10)):
+    diagonal, off = rng.normal(size=12), rng.normal(size=11)
+    off[4] = 0
+    values = np.linalg.eigvalsh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1))
+    at = np.sort(np.r_[values + 1e-9, values - 1e-9, rng.normal(size=20)])
+    assert W.sturm_counts(diagonal, off, at).tolist() == [(values < a).sum() for a in at]
+
+
+def test_deviation_is_exact_or_null():
+    x = np.array([[1 << 50, -(1 << 50)], [3, 4]])
+    exact, y = W.centred(x, 1 << 20, [0, 0])
+    assert exact.tolist() == [[1 << 70, -(1 << 70)], [3 << 20, 4 << 20]] and y.tolist() == x.tolist()
