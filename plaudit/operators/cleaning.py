@@ -50,16 +50,26 @@ def add_star_sentiment(reviews: DataFrame) -> DataFrame:
     return reviews.withColumns(star_sentiment(F.col("stars")))
 
 
-def companies_with_reviews(reviews: DataFrame, n: int = FULL_COMPANY_REVIEWS) -> DataFrame:
-    """Companies with exactly ``n`` reviews."""
-    return reviews.groupBy("company").agg(F.count(F.lit(1)).alias("n_reviews")).where(
-        F.col("company").isNotNull() & (F.col("n_reviews") == n)
-    )
+def companies_with_reviews(
+    reviews: DataFrame, n: int | None = FULL_COMPANY_REVIEWS, keys: Sequence[str] = ("company",)
+) -> DataFrame:
+    """Companies with exactly ``n`` reviews, by ``keys``; null keys are no company.
+
+    Without ``n`` it is the number of reviews that most companies have, the smaller on ties: the size
+    at which the data was cut off. It is found and used inside the plan, one row that Spark sizes itself.
+    """
+    counted = reviews.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reviews"))
+    for key in keys:
+        counted = counted.where(F.col(key).isNotNull())
+    if n is not None:
+        return counted.where(F.col("n_reviews") == n)
+    usual = counted.groupBy("n_reviews").agg(F.count(F.lit(1)).alias("_companies")).orderBy(F.desc("_companies"), "n_reviews").limit(1)
+    return counted.join(usual.select("n_reviews"), "n_reviews", "left_semi").select(*keys, "n_reviews")
 
 
-def reviews_of_companies(reviews: DataFrame, companies: DataFrame) -> DataFrame:
+def reviews_of_companies(reviews: DataFrame, companies: DataFrame, keys: Sequence[str] = ("company",)) -> DataFrame:
     """Reviews whose company is in the list."""
-    return reviews.join(companies.select("company"), "company", "left_semi")
+    return reviews.join(companies.select(*keys), list(keys), "left_semi")
 
 
 def company_values(

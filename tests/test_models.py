@@ -80,3 +80,34 @@ def test_pca_explains_the_spread(clustered):
     xy = np.array([[r.pc1, r.pc2] for r in found])
     eigen = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     assert np.allclose(np.var(xy, axis=0, ddof=1), eigen[:2])
+
+
+def test_vectors_that_are_not_finite_are_none(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 4 == 0, rng.normal(size=6).tolist()) for i in range(80)]
+    odd = [None, [], [float("nan")] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("inf")] + [0.0] * 5]
+    rows += [(100 + i, False, v) for i, v in enumerate(odd)]
+    table = spark.createDataFrame(rows, "review_id int, is_target boolean, embedding array<double>")
+    for rounds in (None, 3):
+        found = {r.review_id: r.discovered_topic for r in discovery.discover_topics(table, 3, 2, rounds=rounds).collect()}
+        assert len(found) == 85 and all((found[i] is None) == (i >= 100) for i in found)
+    points = {r.review_id: r.pc1 for r in discovery.pca_coordinates(table).collect()}
+    assert all((points[i] is None) == (i >= 100) for i in points)
+
+
+def test_given_rounds_match_plain_k_means(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 5)) * [5, 4, 3, 1, 1]
+    target = np.arange(120) % 5 == 0
+    table = spark.createDataFrame([(i, bool(t), v.tolist()) for i, (t, v) in enumerate(zip(target, x))], "review_id int, is_target boolean, embedding array<double>")
+    found = discovery.discover_topics(table.repartition(4), 4, 3, rounds=5).orderBy("review_id").collect()
+    fit = x[~target]
+    _, axes = np.linalg.eigh(np.cov(fit.T))
+    reduced = x @ axes[:, ::-1][:, :3]
+    centres = reduced[~target][:4].copy()
+    for _ in range(5):
+        near = ((reduced[~target][:, None] - centres) ** 2).sum(2).argmin(1)
+        for k in range(4):
+            if (near == k).any():
+                centres[k] = reduced[~target][near == k].mean(0)
+    assert [r.discovered_topic for r in found] == ((reduced[:, None] - centres) ** 2).sum(2).argmin(1).tolist()

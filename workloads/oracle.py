@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from plaudit.constants import HTML_ENTITIES, SIMILARITY_THRESHOLD, STOP_WORDS
 from plaudit.functions.text import WHITESPACE_CLASS as WS
 
@@ -211,15 +213,17 @@ def statement(body: str, *names: str) -> str:
     ordered: list[str] = []
 
     def add(name: str) -> None:
+        if name in ordered:
+            return
         for needed in NEEDS.get(name, []):
             add(needed)
-        if name not in ordered:
-            ordered.append(name)
+        ordered.append(name)
 
     for name in names:
         add(name)
     tables = ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n]})" for n in ordered)
-    return f"WITH {tables}\n{body}" if ordered else body
+    joint = "" if body.startswith(",") else "\n"  # a body that begins with a comma adds tables of its own
+    return f"WITH {tables}{joint}{body}" if ordered else body
 
 
 def six(*columns: str) -> str:
@@ -315,9 +319,10 @@ ORACLES["describe_stats"] = statement(
 )
 ORACLES["company_stats"] = statement("SELECT * FROM stats", "stats")
 ORACLES["companies_with_n_reviews"] = statement(
-    """SELECT review_id, company FROM raw WHERE company IN
-       (SELECT company FROM raw WHERE category = 'en' GROUP BY company HAVING count(*) = 31)
-              AND category = 'en'""",
+    """, sizes AS (SELECT category, company, count(*) AS n FROM raw
+                  WHERE category IS NOT NULL AND company IS NOT NULL GROUP BY category, company)
+       SELECT review_id, category, company FROM raw JOIN sizes USING (category, company)
+       WHERE n = (SELECT n FROM sizes GROUP BY n ORDER BY count(*) DESC, n LIMIT 1)""",
     "raw",
 )
 ORACLES["company_descriptions"] = statement(
@@ -652,3 +657,230 @@ ORACLES["classify_sentiment"] = statement(
                     FROM cleaned))""",
     "cleaned",
 )
+
+
+# --- principal components and k-means ------------------------------------------------------------
+
+TABLES["embedded"] = f"""
+    SELECT review_id, coalesce(company = '{TARGET}', false) AS is_target, embedding FROM vectors
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"""
+NEEDS["embedded"] = ["vectors"]
+
+
+def components(prefix: str, source: str, n: int, squarings: int = 14) -> str:
+    """Tables for the first principal components of ``source``; the last holds (component, i, loading).
+
+    A matrix squared again and again becomes the projection on its leading eigenvector, which is then
+    taken out of the matrix.
+    """
+    before = ["embedded"]
+
+    def table(name: str, sql: str) -> str:
+        TABLES[f"{prefix}_{name}"] = sql
+        NEEDS[f"{prefix}_{name}"] = list(before)
+        before.append(f"{prefix}_{name}")
+        return f"{prefix}_{name}"
+
+    x = table("x", f"SELECT review_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM {source}")
+    centred = table("centred", f"SELECT review_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM {x}")
+    matrix = table("matrix", f"SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM {centred} a JOIN {centred} b USING (review_id) GROUP BY a.i, b.i")
+    found = []
+    for m in range(1, n + 1):
+        square = matrix
+        for k in range(squarings):
+            scaled = table(f"scaled{m}_{k}", f"SELECT i, j, v / max(abs(v)) OVER () AS v FROM {square}")
+            square = table(f"square{m}_{k}", f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {scaled} a JOIN {scaled} b ON a.j = b.i GROUP BY a.i, b.j")
+        column = f"(SELECT i, v FROM {square} WHERE j = (SELECT i FROM {square} WHERE i = j ORDER BY v DESC LIMIT 1))"
+        axis = table(f"axis{m}", f"""
+            SELECT i, v * sign(first(v) OVER (ORDER BY abs(v) DESC)) / sqrt(sum(v * v) OVER ()) AS v FROM {column}""")
+        found.append(f"SELECT {m} AS component, i, v FROM {axis}")
+        matrix = table(f"matrix{m}", f"""
+            SELECT a.i, a.j, a.v - size * p.v * q.v AS v
+            FROM {matrix} a JOIN {axis} p ON p.i = a.i JOIN {axis} q ON q.i = a.j,
+                 (SELECT sum(p.v * m.v * q.v) AS size FROM {matrix} m JOIN {axis} p ON p.i = m.i JOIN {axis} q ON q.i = m.j)""")
+    return table("axes", " UNION ALL ".join(found))
+
+
+_TWO = components("two", "embedded", 2)
+ORACLES["pca_2d"] = statement(
+    f"""SELECT review_id, coalesce(company = '{TARGET}', false) AS is_target,
+               round(sum(x.x * a.v) FILTER (component = 1), 6) AS pc1, round(sum(x.x * a.v) FILTER (component = 2), 6) AS pc2
+        FROM vectors LEFT JOIN two_x x USING (review_id) LEFT JOIN {_TWO} a ON a.i = x.i
+        GROUP BY review_id, is_target""",
+    "vectors", _TWO,
+)
+
+_FIVE = components("five", "(SELECT * FROM embedded WHERE NOT is_target)", 5)
+TABLES["reduced"] = f"""
+    SELECT review_id, is_target, list(v ORDER BY component) AS p
+    FROM (SELECT review_id, is_target, component, sum(e.x * a.v) AS v
+          FROM (SELECT review_id, is_target, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embedded) e
+          JOIN {_FIVE} a ON a.i = e.i GROUP BY review_id, is_target, component)
+    GROUP BY review_id, is_target"""
+TABLES["centres0"] = """
+    SELECT row_number() OVER (ORDER BY review_id) - 1 AS k, p AS c FROM reduced WHERE NOT is_target ORDER BY review_id LIMIT 12"""
+NEEDS |= {"reduced": ["embedded", _FIVE], "centres0": ["reduced"]}
+for _t in range(9):
+    TABLES[f"near{_t}"] = f"""
+        SELECT review_id, is_target, p, k FROM reduced, centres{_t}
+        QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY list_distance(p, c), k) = 1"""
+    TABLES[f"centres{_t + 1}"] = f"""
+        SELECT k, coalesce(m, c) AS c FROM centres{_t} LEFT JOIN (
+            SELECT k, list(x ORDER BY i) AS m FROM (
+                SELECT k, i, avg(p[i]) AS x FROM near{_t}, range(1, 6) t(i) WHERE NOT is_target GROUP BY k, i) GROUP BY k) USING (k)"""
+    NEEDS |= {f"near{_t}": ["reduced", f"centres{_t}"], f"centres{_t + 1}": [f"near{_t}"]}
+ORACLES["discover_topics"] = statement(
+    f"""SELECT v.review_id, coalesce(company = '{TARGET}', false) AS is_target, CAST(k AS INTEGER) AS discovered_topic
+        FROM vectors v LEFT JOIN near8 ON near8.review_id = v.review_id""",
+    "vectors", "near8",
+)
+
+# --- density clusters ----------------------------------------------------------------------------
+
+TABLES["nodes"] = """
+    SELECT min(vec_id) AS node, count(*) AS copies, any_value(v) AS v
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    WHERE len(v) > 0 AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 GROUP BY v"""
+TABLES["units"] = """
+    SELECT node, copies, [c / CASE WHEN size = 0 THEN 1 ELSE size END FOR c IN v] AS u
+    FROM (SELECT *, sqrt(list_sum([c * c FOR c IN v])) AS size FROM nodes)"""
+TABLES["apart"] = """
+    SELECT a.node, a.copies, b.node AS other, b.copies AS others, list_distance(a.u, b.u) AS d
+    FROM units a JOIN units b ON a.node <> b.node"""
+NEEDS |= {"units": ["nodes"], "apart": ["units"]}
+
+ORACLES["vector_neighbours"] = statement(
+    """SELECT node, copies, rank, other, round(d, 6) AS distance
+       FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d, other) AS rank FROM apart)
+       WHERE rank <= 10""",
+    "apart",
+)
+TABLES["cores"] = """
+    SELECT node, copies, CASE WHEN copies - 1 >= 2 THEN 0 ELSE core END AS core
+    FROM nodes LEFT JOIN (
+        SELECT node, min(d) FILTER (seen + copies - 1 >= 2) AS core
+        FROM (SELECT *, sum(others) OVER (PARTITION BY node ORDER BY d, other) AS seen FROM apart)
+        GROUP BY node) USING (node)"""
+TABLES["radius"] = """
+    SELECT quantile_cont(core, 0.1) AS r FROM (SELECT core, unnest(range(copies)) FROM cores WHERE core IS NOT NULL)"""
+TABLES["near_links"] = """
+    SELECT apart.node, other FROM apart JOIN cores a ON a.node = apart.node JOIN cores b ON b.node = other, radius
+    WHERE d <= r AND a.core <= r AND b.core <= r"""
+NEEDS |= {"cores": ["nodes", "apart"], "radius": ["cores"], "near_links": ["apart", "cores", "radius"]}
+
+ORACLES["dense_clusters"] = statement(
+    """, reach AS (
+         SELECT node, node AS other FROM cores, radius WHERE core <= r
+         UNION
+         SELECT reach.node, near_links.other FROM reach JOIN near_links ON near_links.node = reach.other),
+       roots AS (SELECT node, min(other) AS cluster FROM reach GROUP BY node),
+       sizes AS (SELECT cluster, CAST(sum(copies) AS BIGINT) AS cluster_size FROM roots JOIN nodes USING (node)
+                 GROUP BY cluster HAVING sum(copies) >= 3)
+       SELECT e.vec_id AS review_id, round(core, 6) AS core_distance, sizes.cluster, cluster_size
+       FROM embeddings e LEFT JOIN nodes ON CAST(e.embedding AS DOUBLE[]) = nodes.v LEFT JOIN cores USING (node)
+       LEFT JOIN roots USING (node) LEFT JOIN sizes USING (cluster)""",
+    "near_links",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+# --- statistics that follow their reviews --------------------------------------------------------
+
+ORACLES["stats_from_batches"] = ORACLES["company_stats"]
+ORACLES["topic_summary_from_batches"] = ORACLES["topic_summary"]
+TABLES["kept_features"] = "SELECT * FROM features WHERE stars <> 1"
+TABLES["kept_stats"] = TABLES["stats"].replace("FROM features", "FROM kept_features")
+NEEDS |= {"kept_features": ["features"], "kept_stats": ["kept_features"]}
+ORACLES["stats_after_withdrawal"] = statement("SELECT * FROM kept_stats", "kept_stats")
+ORACLES["describe_after_withdrawal"] = statement(
+    """SELECT category, count(stars) AS count, round(avg(stars), 6) AS mean, round(stddev_samp(stars), 6) AS std,
+              CAST(min(stars) AS DOUBLE) AS min, round(quantile_cont(stars, 0.25), 6) AS p25,
+              round(quantile_cont(stars, 0.5), 6) AS p50, round(quantile_cont(stars, 0.75), 6) AS p75,
+              CAST(max(stars) AS DOUBLE) AS max
+       FROM kept_features GROUP BY category""",
+    "kept_features",
+)
+ORACLES["length_limits_after_withdrawal"] = statement(
+    """SELECT category, count(*) AS n, round(quantile_cont(review_word_count, 0.97), 6) AS p97,
+              round(quantile_cont(review_word_count, 0.99), 6) AS p99
+       FROM kept_features GROUP BY category""",
+    "kept_features",
+)
+
+# --- how certain gaps and words are --------------------------------------------------------------
+
+_M = 2147483647
+_STEP = "((xor(x, x >> {}) * 1566083941) % 2147483647)"
+TABLES["draws"] = f"""
+    SELECT macro_topic, is_target, sign, r, xor(x, x >> 15) % {_M} AS h
+    FROM (SELECT * REPLACE ({_STEP.format(17)} AS x)
+    FROM (SELECT * REPLACE ({_STEP.format(13)} AS x)
+    FROM (SELECT macro_topic, is_target, r, ((((review_id % {_M}) + {_M}) % {_M}) * 48271 + r * 630360016 + 1) % {_M} AS x,
+                 CASE sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END AS sign
+          FROM assembled, range(200) t(r) WHERE macro_topic <> 'General / Other')))"""
+
+
+def _poisson(h: str) -> str:
+    """The weight of a hash: how many steps of the distribution function it has passed."""
+    total, term, steps = 0.0, math.exp(-1), []
+    for k in range(12):
+        term = math.exp(-1) / math.factorial(k)
+        total += term
+        steps.append(f"CASE WHEN {h} >= {math.floor(total * _M)} THEN 1 ELSE 0 END")
+    return " + ".join(steps)
+
+
+TABLES["replicates"] = f"""
+    SELECT macro_topic, r,
+           sum(w * sign) FILTER (is_target) * 100.0::DOUBLE / nullif(sum(w) FILTER (is_target), 0)
+           - sum(w * sign) FILTER (NOT is_target) * 100.0::DOUBLE / nullif(sum(w) FILTER (NOT is_target), 0) AS gap
+    FROM (SELECT *, {_poisson("h")} AS w FROM draws) GROUP BY macro_topic, r"""
+TABLES["bounded"] = """
+    SELECT merged.*, gap_low, gap_high, share_below, n_replicates
+    FROM merged LEFT JOIN (
+        SELECT macro_topic, quantile_cont(gap, 0.025) AS gap_low, quantile_cont(gap, 0.975) AS gap_high,
+               avg(CASE WHEN gap < 0 THEN 1.0 ELSE 0.0 END) AS share_below, count(*) AS n_replicates
+        FROM replicates WHERE gap IS NOT NULL GROUP BY macro_topic) USING (macro_topic)"""
+NEEDS |= {"draws": ["assembled"], "replicates": ["draws"], "bounded": ["merged", "replicates"]}
+ORACLES["gap_bounds"] = statement(
+    f"""SELECT macro_topic, n_reviews_target, n_reviews_comp, n_replicates,
+               {six("net_sentiment_target", "net_sentiment_comp", "gap", "gap_low", "gap_high", "share_below")} FROM bounded""",
+    "bounded",
+)
+ORACLES["certain_weak_topics"] = statement(
+    f"""SELECT CASE WHEN gap_low > 0 THEN 'strength' WHEN gap_high < 0 THEN 'weakness' ELSE 'undecided' END AS list,
+               macro_topic, {six("gap", "gap_low", "gap_high", "share_below")} FROM bounded""",
+    "bounded",
+)
+
+TABLES["all_words"] = tokens("assembled", "is_target, macro_topic, sentiment")
+
+
+def word_odds(picked: str) -> str:
+    return f"""
+        SELECT macro_topic, word, n_target, n_comp, o_target - o_comp AS log_odds,
+               (o_target - o_comp) / sqrt(1 / (n_target + alpha) + 1 / (n_comp + alpha)) AS z
+        FROM (SELECT *, ln((n_target + alpha) / (size_target + 500 - n_target - alpha)) AS o_target,
+                     ln((n_comp + alpha) / (size_comp + 500 - n_comp - alpha)) AS o_comp
+              FROM (SELECT macro_topic, word, count(*) FILTER (is_target AND {picked}) AS n_target,
+                           count(*) FILTER (NOT is_target AND {picked}) AS n_comp
+                    FROM all_words GROUP BY macro_topic, word)
+              JOIN (SELECT word, count(*) * 500.0::DOUBLE / (SELECT count(*) FROM all_words) AS alpha
+                    FROM all_words GROUP BY word) USING (word)
+              JOIN (SELECT macro_topic, count(*) FILTER (is_target AND {picked}) AS size_target,
+                           count(*) FILTER (NOT is_target AND {picked}) AS size_comp
+                    FROM all_words GROUP BY macro_topic) USING (macro_topic)
+              WHERE n_target + n_comp > 0)"""
+
+
+TABLES["odds_negative"] = word_odds("sentiment = 'negative'")
+TABLES["odds_all"] = word_odds("true")
+NEEDS |= {"all_words": ["assembled"], "odds_negative": ["all_words"], "odds_all": ["all_words"]}
+ORACLES["word_odds"] = statement(
+    f"SELECT macro_topic, word, n_target, n_comp, {six('log_odds', 'z')} FROM odds_negative", "odds_negative"
+)
+ORACLES["distinctive_words"] = statement(
+    f"""SELECT macro_topic, side, rank, word, {six("z")}
+        FROM (SELECT *, row_number() OVER (PARTITION BY macro_topic, side ORDER BY abs(z) DESC, word) AS rank
+              FROM (SELECT *, CASE WHEN z > 0 THEN 'target' ELSE 'competitors' END AS side FROM odds_all WHERE abs(z) >= 1))
+        WHERE rank <= 15""",
+    "odds_all",
+)

@@ -10,18 +10,22 @@ from plaudit.constants import OTHER_TOPIC
 from plaudit.functions import text as X
 from plaudit.functions.labels import length_tier
 from plaudit.operators import (
+    certainty,
     cleaning,
     companies,
     compare,
+    density,
     discovery,
     models,
     positioning,
     rootcause,
+    state,
     topics,
+    wordodds,
 )
 from plaudit.plans.comparison import assemble, compare_company
 from plaudit.plans.sector import explore_sector
-from plaudit.plans.session import durable
+from plaudit.plans.session import durable, durable_path
 from plaudit.sources.tables import document_reviews, document_vectors, table, vector_seeds
 from plaudit.streaming.rowwise import prepare_reviews
 from workloads.stubs import letter_encoder, vowel_classifier
@@ -198,10 +202,9 @@ def company_stats(spark, folder):
 
 @query
 def companies_with_n_reviews(spark, folder):
-    # Within one sector the companies differ in size.
-    reviews = document_reviews(spark, folder).where(F.col("category") == SECTOR)
-    full = cleaning.companies_with_reviews(reviews, 31)
-    return cleaning.reviews_of_companies(reviews, full).select("review_id", "company")
+    reviews, keys = document_reviews(spark, folder), ("category", "company")
+    full = cleaning.companies_with_reviews(reviews, None, keys)
+    return cleaning.reviews_of_companies(reviews, full, keys).select("review_id", "category", "company")
 
 
 @query
@@ -443,10 +446,102 @@ def classify_sentiment(spark, folder):
 @query
 def discover_topics(spark, folder):
     flagged = topics.flag_target(with_vectors(spark, folder), TARGET)
-    return discovery.discover_topics(flagged).select("review_id", "is_target", "discovered_topic")
+    return discovery.discover_topics(flagged, rounds=8).select("review_id", "is_target", "discovered_topic")
 
 
 @query
 def pca_2d(spark, folder):
     flagged = topics.flag_target(with_vectors(spark, folder), TARGET)
-    return discovery.pca_coordinates(flagged).select("review_id", "is_target", "pc1", "pc2")
+    return rounded(discovery.pca_coordinates(flagged).select("review_id", "is_target", "pc1", "pc2"))
+
+
+# --- density clusters ----------------------------------------------------------------------------
+
+
+@query
+def vector_neighbours(spark, folder):
+    nodes = durable(density.distinct_vectors(document_vectors(spark, folder)), "density-nodes")
+    graph = density.neighbour_graph(nodes)
+    near = graph.select("node", "copies", F.posexplode("near").alias("rank", "near"))
+    return rounded(
+        near.select("node", "copies", (F.col("rank") + 1).cast("long").alias("rank"), F.col("near.other").alias("other"), F.col("near.distance").alias("distance"))
+    )
+
+
+@query
+def dense_clusters(spark, folder):
+    vectors = document_vectors(spark, folder)
+    return rounded(density.density_clusters(vectors, min_samples=2, min_cluster_size=3, core_share=0.1))
+
+
+# --- statistics that follow their reviews --------------------------------------------------------
+
+
+BATCHES = 3
+
+
+def _followed(spark, folder, rows: DataFrame, layout: state.Layout, withdraw=None) -> DataFrame:
+    """A state that took all rows in batch by batch, the last one twice, and gave some back."""
+    store = state.StateStore(spark, durable_path(spark, f"state-{layout.name}"), layout)
+    for k in range(BATCHES):
+        store.apply(f"batch {k}", add=rows.where(F.pmod(F.col("review_id"), F.lit(BATCHES)) == k))
+    store.apply(f"batch {BATCHES - 1}", add=rows.where(F.pmod(F.col("review_id"), F.lit(BATCHES)) == BATCHES - 1))
+    if withdraw is not None:
+        store.apply("withdrawn", withdraw=rows.where(withdraw))
+    return store.current()
+
+
+@query
+def stats_from_batches(spark, folder):
+    return state.company_stats(_followed(spark, folder, features(spark, folder), state.company_layout()))
+
+
+@query
+def stats_after_withdrawal(spark, folder):
+    rows = features(spark, folder)
+    return state.company_stats(_followed(spark, folder, rows, state.company_layout(), F.col("stars") == 1))
+
+
+@query
+def describe_after_withdrawal(spark, folder):
+    rows = features(spark, folder)
+    return rounded(state.describe_stars(_followed(spark, folder, rows, state.company_layout(), F.col("stars") == 1)))
+
+
+@query
+def length_limits_after_withdrawal(spark, folder):
+    rows = features(spark, folder)
+    return rounded(state.length_limits(_followed(spark, folder, rows, state.length_layout(), F.col("stars") == 1)))
+
+
+@query
+def topic_summary_from_batches(spark, folder):
+    rows = durable(assembled(spark, folder), "assembled")  # read once a batch, computed once
+    return rounded(state.topic_summary(_followed(spark, folder, rows, state.topic_layout())))
+
+
+# --- how certain gaps and words are --------------------------------------------------------------
+
+
+@query
+def gap_bounds(spark, folder):
+    rows = durable(assembled(spark, folder), "assembled")
+    return rounded(certainty.gap_bounds(rows, compare.head_to_head(compare.topic_summary(rows))))
+
+
+@query
+def certain_weak_topics(spark, folder):
+    rows = durable(assembled(spark, folder), "assembled")
+    bounded = certainty.gap_bounds(rows, compare.head_to_head(compare.topic_summary(rows)))
+    return rounded(certainty.certain_strengths_weaknesses(bounded))
+
+
+@query
+def word_odds(spark, folder):
+    return rounded(wordodds.word_odds(assembled(spark, folder)))
+
+
+@query
+def distinctive_words(spark, folder):
+    odds = wordodds.word_odds(assembled(spark, folder), sentiment=None)
+    return rounded(wordodds.distinctive_words(odds, min_z=1.0))
