@@ -163,80 +163,198 @@ def test_codes_are_complete_and_prefix_free():
     assert len(words) == 50 and nodes.max() == 48
 
 
-def brute_base(texts):
-    def tokens(text):
-        return [*(text or "").encode().lower().split(), None]
+def tokens_of(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
+def trains(i):
+    return zlib.crc32(str(i).encode()) % 7 != 2
+
 
-    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
-    counts = Counter(t for i in train for t in tokens(texts[i]))
+def brute_base(texts):
+    counts = Counter(t for i, text in enumerate(texts) if trains(i) for t in tokens_of(text))
     total = sum(counts.values())
     floor = total + len(counts) + 1
     return total, [
-        (len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), sum(math.log10((counts[x] + 1) / floor) for x in tokens(t)))
+        (len(tokens_of(t)), sum(counts[x] > 0 for x in tokens_of(t)), sum(math.log10((counts[x] + 1) / floor) for x in tokens_of(t)))
         for t in texts
     ]
 
 
+def two_languages(rng, n=160, length=80):
+    syllables = [["ha", "us", "un", "der", "die", "weg", "lich"], ["the", "of", "an", "ro", "ad", "ing", "é"]]
+    words = [["".join(rng.choice(own) for _ in range(rng.randint(1, 3))) for _ in range(60)] for own in syllables]
+    return [
+        " ".join(rng.choice(words[k % 2]) if rng.random() < 0.9 else "".join(rng.choice(syllables[k % 2]) for _ in range(3)) for _ in range(length))
+        for k in range(n)
+    ]
+
+
 def test_scores(spark):
-    rng = random.Random(11)
-    vocabulary = [("haus", "und", "der", "die", "weg") if k % 2 else ("the", "of", "and", "road", "house") for k in range(2)]
-    texts = []
-    for k in range(120):
-        own = vocabulary[k % 2]
-        texts.append(" ".join(rng.choice(own) if rng.random() < 0.95 else f"n{rng.randrange(500)}é" for _ in range(80)))
-    texts += [None, "", "  ", "x" * 3000, "THE  Of\nand"]
+    texts = two_languages(random.Random(11)) + [None, "", "  ", "x" * 3000, "THE  Of\nand", "a\x00b \x00"]
     docs = table(spark, texts)
     found = {r.doc_id: r for r in M.score_documents(docs).collect()}
     total, base = brute_base(texts)
+    assert len(found) == len(texts)
     for i, (n, known, score) in enumerate(base):
         r = found[i]
         assert (r.train_tokens, r.n_tokens, r.n_known) == (total, n, known)
         assert r.base_score == pytest.approx(score) and r.score < 0 and r.bits_per_byte >= 0
-        assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
-    held = [i for i in range(120) if found[i].held_out]
-    assert np.mean([found[i].score - found[i].base_score for i in held]) > 0
-    assert found[120].score == found[121].score == found[122].score
+        assert r.held_out == (not trains(i))
+    held = [i for i in range(160) if found[i].held_out]
+    assert np.mean([found[i].score > found[i].base_score for i in held]) >= 0.9
+    assert found[160].score == found[161].score == found[162].score
     assert M.score_documents(docs.limit(0)).count() == 0
 
 
-def test_bytes_and_weights_come_from_all_training_rows(spark, monkeypatch):
-    texts = [f"w{i % 7} né{i}" for i in range(2600)]
-    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
-    said, of, fit = {}, M.Code.of, M._fit_weights
-
-    def weights(docs, *others):
-        said["rows"] = docs.count()
-        return fit(docs, *others)
-
-    monkeypatch.setattr(M.Code, "of", lambda words, rest, n, counts: said.update(counts=counts) or of(words, rest, n, counts))
-    monkeypatch.setattr(M, "_fit_weights", weights)
-    M.score_documents(table(spark, texts))
-    assert said["rows"] == len(train) > 2000
-    assert said["counts"][ord("n")] == sum(t.count("n") for t in train) and said["counts"][256] == 2 * len(train)
-
-
-def test_partitions_share_their_weights_by_gate(spark):
-    code = spark.sparkContext.broadcast(M.Code.of([(5, 40)], 4, 10, np.arange(257)))
-    docs = table(spark, ["aa ab ba", "zz zy"] * 30)
-    counts = spark.sparkContext.broadcast(M._counts(docs, code))
-    once, alone = (M._fit_weights(d, code, counts, 1) for d in (docs, docs.coalesce(1)))
-    assert (once != M.start_weights()).any() and np.abs(once - alone).max() < 0.05
-    assert (M._fit_weights(docs.limit(0), code, counts) == M.start_weights()).all()
-
-
-def test_probabilities_of_all_next_bits_sum_to_one():
-    code = M.Code.of([(5, 40), (9, 7), (11, 3)], 4, 10, np.arange(257))
-    odds = np.random.default_rng(0).normal(size=(M.CONTEXTS, 1 << M.SLOT_BITS)).astype(np.float32)
-
-    def inputs(c, slots, bits):
-        return odds[c][slots], np.zeros(len(slots), np.uint8)
-
+def test_rows_that_repeat_and_null_ids_are_scored_each(spark):
+    texts = ["one two two", "one two two", "three", None, "three"]
+    docs = table(spark, texts, [4, 4, None, None, 9])
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 9)) for r in M.score_documents(docs).collect())
+    assert [f[:3] for f in found] == [(False, 4, 4), (False, 4, 4), (False, 9, 2), (True, 0, 1), (True, 0, 2)]
+    assert found[0] == found[1]
+
+
+def test_without_training_rows_nothing_is_known(spark):
+    held = next(i for i in range(100) if not trains(i))
+    r = M.score_documents(table(spark, ["some words here"], [held])).first()
+    assert (r.train_tokens, r.n_known, r.n_tokens, r.base_score) == (0, 0, 4, 0) and r.score < 0 and r.held_out
+
+
+def model_of(spark, texts):
+    docs = table(spark, texts).withColumn("train", F.lit(True)).select("doc_id", "text", "train")
+    blocks = M.durable(M.token_blocks(docs), "blocks")
+    classes = M.learn_classes(blocks)
+    units = M.durable(M._units(blocks, spark.sparkContext.broadcast(classes)), "units")
+    return blocks, classes, units, M.learn_model(units)
+
+
+def test_units_are_the_tokens_of_each_class(spark):
+    texts = two_languages(random.Random(2), 60)
+    blocks, classes, units, model = model_of(spark, texts)
+    block_rows = [M.Block.of(r.asDict()) for r in blocks.collect()]
+    of = {}
+    for block in block_rows:
+        of |= dict(zip(block.ids, block.classes(classes).tolist()))
+    counts = Counter((of[i], t) for i, text in enumerate(texts) for t in tokens_of(text))
+    found = {(r["class"], bytes(r.spelled)): r.n for r in units.collect()}
+    assert found == counts
+    overall = Counter(t for (_, t), n in counts.items() for _ in range(n))
+    assert all(r.c == overall[bytes(r.spelled)] for r in units.collect())
+    # Texts of one language never share a class with the other.
+    assert not {of[i] for i in range(0, 60, 2)} & {of[i] for i in range(1, 60, 2)}
+    share = Counter(of.values())
+    assert np.allclose(classes.shares, [math.log10((share[k] + 1) / (60 + len(classes.shares))) for k in range(len(classes.shares))])
+
+
+def slow_log10(model, spelled, kind):
+    """The score of one token, bit by bit, in plain Python."""
+    mask = (1 << 64) - 1
+    codes = spelled + bytes(0)
+    symbols = [*spelled, 256] if spelled else [257]
+
+    def whole_hash(part):
+        base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+        return sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(part)) & mask
+
+    def mix(h):
+        for _ in range(2):
+            h ^= h >> 32
+            h = h * 0xD6E8FEB86659FD93 & mask
+        return h ^ (h >> 32)
+
+    def context(part, salt, with_class):
+        h = whole_hash(part) + len(part) * 0xD6E8FEB86659FD93 + ((kind + 1) * 0x9E3779B97F4A7C15 if with_class else 0)
+        return mix((h + salt) & mask) >> 32
+
+    starts, lengths, nodes, bits = model.tree
     total = 0.0
-    for symbol in range(code.spelled):  # every way to begin a text
-        found = M.Symbols(np.array([symbol]), [np.zeros(1, np.uint32)] * M.CONTEXTS, np.zeros(1, np.int64))
-        logs, _ = M._mix(found, code, 1, M.start_weights(), inputs, M.RATE, fresh=True)
-        total += math.exp(logs[0])
-    assert total == pytest.approx(1, abs=1e-5)
+    for place, symbol in enumerate(symbols):
+        before = codes[:place]
+        contexts = [
+            context(before, 0x51ED270B, True), context(before, 0x1B873593, False),
+            context(before[-4:], 0x7FEB352D, True), context(before[-2:], 0x2C1B3C6D, True),
+        ]
+        for at in range(starts[symbol], starts[symbol] + lengths[symbol]):
+            x, seen = [], []
+            for c, h in enumerate(contexts):
+                h = (h + int(nodes[at]) * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF
+                h ^= h >> 15
+                slot = (h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - model.slot_bits)
+                zeros, ones = (int(v) for v in model.counts[c][2 * slot : 2 * slot + 2])
+                x.append(math.log(ones + M.PRIOR) - math.log(zeros + M.PRIOR))
+                seen.append(zeros + ones)
+            level = [sum(s >= t for t in M.LEVELS[k]) for s, k in zip(seen, (0, 0, 1))]
+            gate = (level[0] * (len(M.LEVELS[0]) + 1) + level[1]) * (len(M.LEVELS[1]) + 1) + level[2]
+            w = model.weights[gate].tolist()
+            z = max(-M.CLIP, min(M.CLIP, sum(a * b for a, b in zip(w, [*x, 0.3]))))
+            step = max(-(M.STEPS // 2), min(M.STEPS // 2, round(z * 2))) + M.STEPS // 2
+            z += model.refined[min(place, M.PLACES - 1) * (len(M.LEVELS[1]) + 1) + level[2], step]
+            total -= math.log1p(math.exp(-z if bits[at] else z))
+    return total / math.log(10)
+
+
+def test_token_scores_match_a_slow_model(spark):
+    texts = two_languages(random.Random(5), 60)
+    blocks, classes, units, model = model_of(spark, texts)
+    scored = {(r["class"], r.token): r.log for r in M.score_units(units, spark.sparkContext.broadcast(model)).collect()}
+    rows = units.collect()
+    for r in random.Random(1).sample(rows, 60) + [r for r in rows if not r.spelled]:
+        assert scored[r["class"], r.token] == pytest.approx(slow_log10(model, bytes(r.spelled), r["class"]), rel=1e-4, abs=1e-4)
+    # The score of a text: its class, and its tokens.
+    found = {r.doc_id: r.score for r in M.score_documents(table(spark, texts)).collect()}
+    assert len(found) == 60
+
+
+def test_the_cache_matches_a_slow_one(rng=np.random.default_rng(4)):
+    sizes = np.array([1, 40, 3, 0, 200])
+    refs = rng.integers(0, 12, sizes.sum()).astype(np.uint32)
+    logs = -rng.uniform(0.2, 9, len(refs))
+    block = M.Block(0, [], np.ones(5, bool), sizes, sizes, refs, np.arange(12, dtype=np.uint64))
+    found, start = M.cached(logs, block), 0
+    for size, score in zip(sizes, found):
+        totals = []
+        for share in M.SHARES:
+            total, seen = 0.0, Counter()
+            for k in range(start, start + size):
+                own = seen[refs[k]] / max(k - start, 1)
+                total += math.log10((1 - share) * 10 ** logs[k] + share * own) if k > start else logs[k]
+                seen[refs[k]] += 1
+            totals.append(total)
+        assert score == pytest.approx(math.log10(np.mean([10.0**t for t in totals])) if size < 60 else max(totals), abs=0.8 if size >= 60 else 1e-9)
+        start += size
+    assert found[3] == 0
+
+
+def test_probabilities_of_all_next_symbols_sum_to_one(spark):
+    blocks, classes, units, model = model_of(spark, two_languages(random.Random(3), 40))
+    for kind in (0, 1):
+        for start in (b"", b"un", b"zzzz"):
+            found = M.spell(pa.array([start]), np.array([kind]))
+            last = len(found.symbols) - 1
+            total = 0.0
+            for symbol in range(M._SYMBOLS):
+                one = M.Symbols(np.array([symbol]), np.zeros(1, np.int64), found.place[last:], [c[last:] for c in found.contexts])
+                total += math.exp(model.logs(one, 1)[0])
+            assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_learning_helps_and_partitions_agree(spark):
+    blocks, classes, units, model = model_of(spark, two_languages(random.Random(7), 120))
+    context = spark.sparkContext
+    plain = M.Model(model.tree, model.slot_bits, model.counts, M.start_weights(), np.zeros_like(model.refined))
+    rows = units.where("n > 0")
+
+    def cost(m):
+        weighed = M.score_units(rows, context.broadcast(m)).join(rows.select("class", "token", "n"), ["class", "token"])
+        return -weighed.agg(F.sum(F.col("log") * F.col("n"))).first()[0]
+
+    assert cost(model) < cost(plain)
+    plain.counts = model.counts
+    once, alone = (M.learn_weights(u, context.broadcast(plain)) for u in (units.repartition(4, "token"), units.coalesce(1)))
+    used = (once != M.start_weights()).any(1)
+    assert used.any() and cost(M.Model(model.tree, model.slot_bits, model.counts, once, plain.refined)) < 1.05 * cost(M.Model(model.tree, model.slot_bits, model.counts, alone, plain.refined))
+    assert (M.learn_weights(units.limit(0), context.broadcast(plain)) == M.start_weights()).all()
 
 
 # --- pipeline ------------------------------------------------------------------------------------
