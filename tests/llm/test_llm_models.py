@@ -281,7 +281,7 @@ def slow_log10(model, spelled, kind):
                 h = (h + int(nodes[at]) * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF
                 h ^= h >> 15
                 slot = (h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - model.slot_bits)
-                zeros, ones = (int(v) for v in model.counts[c][2 * slot : 2 * slot + 2])
+                zeros, ones = (int(M.HELD[v]) for v in model.counts.value[c][2 * slot : 2 * slot + 2])
                 x.append(math.log(ones + M.PRIOR) - math.log(zeros + M.PRIOR))
                 seen.append(zeros + ones)
             level = [sum(s >= t for t in M.LEVELS[k]) for s, k in zip(seen, (0, 0, 1))]
@@ -297,7 +297,7 @@ def slow_log10(model, spelled, kind):
 def test_token_scores_match_a_slow_model(spark):
     texts = two_languages(random.Random(5), 60)
     blocks, classes, units, model = model_of(spark, texts)
-    scored = {(r["class"], r.token): r.log for r in M.score_units(units, spark.sparkContext.broadcast(model)).collect()}
+    scored = {(r["class"], r.token): r.log for r in M.score_units(units, model).collect()}
     rows = units.collect()
     for r in random.Random(1).sample(rows, 60) + [r for r in rows if not r.spelled]:
         assert scored[r["class"], r.token] == pytest.approx(slow_log10(model, bytes(r.spelled), r["class"]), rel=1e-4, abs=1e-4)
@@ -306,6 +306,12 @@ def test_token_scores_match_a_slow_model(spark):
     assert len(found) == 60
 
 
+def test_counts_in_a_byte():
+    counts = np.array([0, 1, 63, 64, 65, 100, 10**6, 4 * 10**9])
+    back = M.HELD[M.held_counts(counts)]
+    assert (back[:4] == counts[:4]).all() and (np.abs(back[4:-1] / counts[4:-1] - 1) < 0.05).all()
+
+
 def test_the_cache_matches_a_slow_one(rng=np.random.default_rng(4)):
     sizes = np.array([1, 40, 3, 0, 200])
     refs = rng.integers(0, 12, sizes.sum()).astype(np.uint32)
@@ -341,20 +347,18 @@ def test_probabilities_of_all_next_symbols_sum_to_one(spark):
 
 def test_learning_helps_and_partitions_agree(spark):
     blocks, classes, units, model = model_of(spark, two_languages(random.Random(7), 120))
-    context = spark.sparkContext
     plain = M.Model(model.tree, model.slot_bits, model.counts, M.start_weights(), np.zeros_like(model.refined))
     rows = units.where("n > 0")
 
     def cost(m):
-        weighed = M.score_units(rows, context.broadcast(m)).join(rows.select("class", "token", "n"), ["class", "token"])
+        weighed = M.score_units(rows, m).join(rows.select("class", "token", "n"), ["class", "token"])
         return -weighed.agg(F.sum(F.col("log") * F.col("n"))).first()[0]
 
     assert cost(model) < cost(plain)
-    plain.counts = model.counts
-    once, alone = (M.learn_weights(u, context.broadcast(plain)) for u in (units.repartition(4, "token"), units.coalesce(1)))
+    once, alone = (M.learn_weights(u, plain) for u in (units.repartition(4, "token"), units.coalesce(1)))
     used = (once != M.start_weights()).any(1)
     assert used.any() and cost(M.Model(model.tree, model.slot_bits, model.counts, once, plain.refined)) < 1.05 * cost(M.Model(model.tree, model.slot_bits, model.counts, alone, plain.refined))
-    assert (M.learn_weights(units.limit(0), context.broadcast(plain)) == M.start_weights()).all()
+    assert (M.learn_weights(units.limit(0), plain) == M.start_weights()).all()
 
 
 # --- pipeline ------------------------------------------------------------------------------------
