@@ -297,10 +297,11 @@ def slow_log10(model, spelled, kind):
 def test_token_scores_match_a_slow_model(spark):
     texts = two_languages(random.Random(5), 60)
     blocks, classes, units, model = model_of(spark, texts)
-    scored = {(r["class"], r.token): r.log for r in M.score_units(units, model).collect()}
+    scored = {r.unit: r.log for r in M.score_units(units, model).collect()}
     rows = units.collect()
     for r in random.Random(1).sample(rows, 60) + [r for r in rows if not r.spelled]:
-        assert scored[r["class"], r.token] == pytest.approx(slow_log10(model, bytes(r.spelled), r["class"]), rel=1e-4, abs=1e-4)
+        token = M._spelled_hashes(pa.array([bytes(r.spelled)]))
+        assert scored[int(M.unit_keys(token, np.array([r["class"]]))[0])] == pytest.approx(slow_log10(model, bytes(r.spelled), r["class"]), rel=1e-4, abs=1e-4)
     # The score of a text: its class, and its tokens.
     found = {r.doc_id: r.score for r in M.score_documents(table(spark, texts)).collect()}
     assert len(found) == 60
@@ -351,11 +352,13 @@ def test_learning_helps_and_partitions_agree(spark):
     rows = units.where("n > 0")
 
     def cost(m):
-        weighed = M.score_units(rows, m).join(rows.select("class", "token", "n"), ["class", "token"])
-        return -weighed.agg(F.sum(F.col("log") * F.col("n"))).first()[0]
+        logs = {r.unit: r.log for r in M.score_units(rows, m).collect()}
+        held = rows.collect()
+        keys = M.unit_keys(M._spelled_hashes(pa.array([bytes(r.spelled) for r in held])), np.array([r["class"] for r in held]))
+        return -sum(logs[int(k)] * r.n for k, r in zip(keys, held))
 
     assert cost(model) < cost(plain)
-    once, alone = (M.learn_weights(u, plain) for u in (units.repartition(4, "token"), units.coalesce(1)))
+    once, alone = (M.learn_weights(u, plain) for u in (units.repartition(4, "spelled"), units.coalesce(1)))
     used = (once != M.start_weights()).any(1)
     assert used.any() and cost(M.Model(model.tree, model.slot_bits, model.counts, once, plain.refined)) < 1.05 * cost(M.Model(model.tree, model.slot_bits, model.counts, alone, plain.refined))
     assert (M.learn_weights(units.limit(0), plain) == M.start_weights()).all()
