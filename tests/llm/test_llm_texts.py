@@ -175,8 +175,9 @@ def test_the_style_tree_cuts_what_a_host_repeats(spark):
     found = {r.page_id: r.text for r in H.extract_text(pages).collect()}
     assert found[3] == "Title 3\nOwn text 3"
     assert found[99] == "Top bar\nTitle 99\nOwn text 99\nImprint"
-    tree = {(r.host, r.path): r.importance for r in H.style_tree(pages.withColumn("host", H.host(pages.url))).collect()}
-    assert tree["host.example", "html body table"] == 0 and tree["host.example", "html body div.c0"] == pytest.approx(1)
+    tree = {r.node: r.importance for r in H.style_tree(H.parsed_pages(pages.withColumn("host", H.host(pages.url)))).collect()}
+    assert tree[H.node_id("host.example", ("html", "body", "table"))] == 0
+    assert tree[H.node_id("host.example", ("html", "body", "div.c0"))] == pytest.approx(1)
 
 
 def test_copied_articles_stay(spark):
@@ -187,7 +188,7 @@ def test_copied_articles_stay(spark):
 
 def test_loose_class_words_lose_no_article():
     def text(html):
-        return "\n".join(b[3] for b in H._article(H.page_blocks(html)))
+        return "\n".join(b[3] for b in H.article(H.parse(html).blocks))
 
     plain = "<p>First paragraph</p><p>Second paragraph</p>"
     both = "First paragraph\nSecond paragraph"
@@ -214,6 +215,57 @@ def test_notices_repeated_in_plain_tags_are_cut(spark):
     assert found[400] == "Read our terms.\nSame"
 
 
+def test_headings_that_articles_share_stay(spark):
+    def page(i):
+        return f"<article><h1>T{i}</h1><h2>Introduction</h2><p>own {i}</p><p>A word of ours.</p><h2>Conclusion</h2><p>end {i}</p><p>Write to us.</p></article>"
+
+    rows = [(i, "http://h.example/p", page(i)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in H.extract_text(pages).collect()}
+    # At the rim a repeated sentence is a notice, among the article's own it is text.
+    assert found[7] == "T7\nIntroduction\nown 7\nA word of ours.\nConclusion\nend 7"
+
+
+def test_repeated_blocks_with_a_class_go_wherever_they_stand(spark):
+    def page(i):
+        return f"<article><p>own {i}</p><div class='hint'>Read on below</div><p>more {i}</p></article>"
+
+    pages = spark.createDataFrame([(i, "http://h.example/p", page(i)) for i in range(30)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract_text(pages).collect()}[3] == "own 3\nmore 3"
+
+
+@pytest.mark.parametrize("html", [
+    "<div>x" * 10_000, "<div>" * 10_000 + "x" + "</div>" * 10_000, "<b>" * 10_000 + "<div>x</div>" * 10_000,
+    "<ul><li>x" * 5_000, "<section>" * 5_000 + "<li>x" * 5_000, "<p>x" * 20_000, "<div class=a>x</div><p>" * 10_000 + "</article>" * 10_000,
+    "<table><tr><td>x" * 5_000, "</p>" * 20_000, "<article>x" * 5_000,
+])
+def test_nested_and_unclosed_tags_take_linear_time(html):
+    import time
+
+    start = time.process_time()
+    page = H.parse(html, "h.example")
+    H.article(page.blocks)
+    low = {n[0] for n in page.nodes}
+    H.cut_text([{"key": n[0], "parent": n[1], "kind": n[2]} for n in page.nodes], [{"node": b[0], "content": 0, "heading": b[4], "classed": b[5], "text": b[3]} for b in page.blocks], low)
+    assert time.process_time() - start < 3
+
+
+def test_a_large_host_and_many_low_nodes_give_the_same(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+
+    def page(i, host):
+        text = " ".join(rng.choice(words) for _ in range(30))
+        return (i, f"http://h{host}.example/{i}", f"<html><body><div class=top>Top of {host}</div><main><p>Notice of {host}.</p><h1>T {i}</h1><p>{text}</p></main><div><p>end of {host}</p></div></body></html>", text)
+
+    rows = [page(i, 0 if i % 3 == 0 else 1 + i % 7) for i in range(240)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(4)
+    want = {r[0]: f"T {r[0]}\n{r[3]}" for r in rows}
+    for limit in (H.BROADCAST_NODES, 0):
+        found = {r.page_id: r.text for r in H.extract_text(pages, broadcast_nodes=limit).collect()}
+        assert found == want
+
+
 def brute_longest(values):
     best = [1] * len(values)
     for i, v in enumerate(values):
