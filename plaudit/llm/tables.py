@@ -25,7 +25,7 @@ def _unpacked(counts: bytes) -> np.ndarray:
 def rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A task's table as rows of one block each, without blocks that are all zero."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    blocks = counts.astype(np.uint32).reshape(-1, BLOCK)
+    blocks = counts.astype(np.uint32, copy=False).reshape(-1, BLOCK)
     for block in np.flatnonzero(blocks.any(1)).tolist():
         yield pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([_packed(blocks[block])], pa.binary())],
