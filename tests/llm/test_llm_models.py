@@ -307,6 +307,20 @@ def test_token_scores_match_a_slow_model(spark):
     assert len(found) == 60
 
 
+def test_pieces_of_a_block_give_the_same(spark, monkeypatch):
+    docs = table(spark, two_languages(random.Random(9), 50) + [None, ""])
+    whole = {r.doc_id: tuple(r) for r in M.score_documents(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(M, "_CHUNK_TOKENS", 100)  # of the driver alone; blocks as well are cut there
+    block = M.Block(0, [0] * 40, np.arange(40) % 3 > 0, np.arange(40), np.arange(40), np.random.default_rng(1).integers(0, 30, 780).astype(np.uint32), np.arange(30, dtype=np.uint64))
+    kinds = np.arange(40) % 4
+    small = block.pairs(kinds), block.profiles(np.arange(5, dtype=np.uint64))
+    assert len(list(block.chunks())) > 5
+    monkeypatch.undo()
+    large = block.pairs(kinds), block.profiles(np.arange(5, dtype=np.uint64))
+    assert all((a == b).all() for a, b in zip(small[0], large[0])) and (small[1] == large[1]).all()
+    assert len(whole) == 52
+
+
 def test_counts_in_a_byte():
     counts = np.array([0, 1, 63, 64, 65, 100, 10**6, 4 * 10**9])
     back = M.HELD[M.held_counts(counts)]
@@ -317,8 +331,7 @@ def test_the_cache_matches_a_slow_one(rng=np.random.default_rng(4)):
     sizes = np.array([1, 40, 3, 0, 200])
     refs = rng.integers(0, 12, sizes.sum()).astype(np.uint32)
     logs = -rng.uniform(0.2, 9, len(refs))
-    block = M.Block(0, [], np.ones(5, bool), sizes, sizes, refs, np.arange(12, dtype=np.uint64))
-    found, start = M.cached(logs, block), 0
+    found, start = M.cached(logs, refs, sizes), 0
     for size, score in zip(sizes, found):
         totals = []
         for share in M.SHARES:
