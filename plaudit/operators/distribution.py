@@ -13,7 +13,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 1024
+BUCKETS = 4096
+# Steps of the logarithmic parts of a bucket's place: as fine as doubles resolve a range.
+_STEPS = 1e15
 
 
 def frequencies(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -40,7 +42,8 @@ def ranked(
     """Add ``below``, the rows strictly smaller, and ``total``, all rows of the group.
 
     ``first`` orders rows of equal value; a row counts those before it, so rows with ``n = 0``
-    must come first. Each group's range of values is cut into so many ``buckets`` of one width.
+    must come first. Each group's range of values is cut into so many ``buckets``, by the value and by
+    the logarithms of its distances from both ends, so that neither even nor long-tailed values crowd into one.
     """
     keys = list(keys)
     before = (Window.unboundedPreceding, -1)
@@ -49,8 +52,14 @@ def ranked(
     ranges = values.groupBy(*keys).agg(
         F.min(value).cast("double").alias("lowest"), F.max(value).cast("double").alias("highest")
     )
-    width = (F.col("highest") - F.col("lowest")) / buckets
-    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lowest"), width)), zero)  # one value: one bucket
+    span = F.col("highest") - F.col("lowest")
+    low, high = F.try_divide(F.col(value) - F.col("lowest"), span), F.try_divide(F.col("highest") - F.col(value), span)
+
+    def log(share: Column) -> Column:
+        return F.log1p(share * _STEPS) / F.log1p(F.lit(_STEPS))
+
+    both = (low + log(low) + 1 - log(high)) / 3  # rises with the value
+    place = F.coalesce(F.floor(both * buckets), zero)  # one value: one bucket
     values = (
         values.join(ranges, keys)
         .withColumn("bucket", F.least(place, F.lit(buckets - 1).cast("long")))

@@ -65,9 +65,24 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def durable_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, else one in the warehouse.
+
+    On a cluster a warehouse in a local folder is refused: each executor would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_durable"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")) and _is_local(spark, warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {warehouse} is a local one")
+    return f"{warehouse}/_durable"
+
+
+def _is_local(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder lies in the local file system, by its own scheme or the default one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
 
 
 def durable_path(spark: SparkSession, name: str, folder: str | None = None) -> str:

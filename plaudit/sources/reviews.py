@@ -35,8 +35,8 @@ def read_reviews_csv(
 ) -> DataFrame:
     """Reviews from CSV with a header and a declared schema (no inference pass).
 
-    A file with quoted line breaks cannot be split, so ``multi_line`` gives one task per file.
-    Convert large inputs to Parquet once with :func:`write_reviews`.
+    A file with quoted line breaks is read by one task here; :func:`plaudit.sources.split_csv.read_csv_by_ranges`
+    reads it by many. Convert large inputs to Parquet once with :func:`write_reviews`.
     """
     return spark.read.schema(schema).csv(path, multiLine=multi_line, **_CSV)
 

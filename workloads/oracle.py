@@ -884,3 +884,73 @@ ORACLES["distinctive_words"] = statement(
         WHERE rank <= 15""",
     "odds_all",
 )
+
+
+# --- phrases and sketches ------------------------------------------------------------------------
+
+TABLES["told"] = f"""
+    SELECT macro_topic, [trim(w, '.,!?:;"\'\'') FOR w IN {word_list("lower(review)")}] AS t FROM assembled"""
+TABLES["all_runs"] = " UNION ALL ".join(
+    f"""SELECT macro_topic, array_to_string(r, ' ') AS run, {size} AS n_words
+        FROM (SELECT macro_topic, t[i:i + {size - 1}] AS r FROM (SELECT *, unnest(range(1, len(t) - {size} + 2)) AS i FROM told))
+        WHERE len(list_filter(r, lambda w: NOT regexp_matches(w, '^\\p{{L}}+$'))) = 0"""
+    for size in range(1, 5)
+)
+TABLES["runs"] = """
+    SELECT macro_topic, run, n_words, count(*) AS n FROM all_runs GROUP BY macro_topic, run, n_words
+    QUALIFY sum(count(*)) OVER (PARTITION BY run) >= 10"""
+_STOPS = ", ".join(quoted(w) for w in STOP_WORDS)
+TABLES["phrases"] = f"""
+    SELECT *, 2 * (n * ln(n / (n_all / total * size)) +
+                   CASE WHEN n_all > n THEN (n_all - n) * ln((n_all - n) / (n_all / total * (total - size))) ELSE 0 END) AS g2
+    FROM (SELECT *, sum(n) OVER (PARTITION BY run)::DOUBLE AS n_all, sum(n) OVER (PARTITION BY macro_topic, n_words)::DOUBLE AS size,
+                 sum(n) OVER (PARTITION BY n_words)::DOUBLE AS total FROM runs)
+    WHERE n * (total - size) > (n_all - n) * size
+      AND split_part(run, ' ', 1) NOT IN ({_STOPS}) AND split_part(run, ' ', -1) NOT IN ({_STOPS})
+      AND length(split_part(run, ' ', 1)) > 1 AND length(split_part(run, ' ', -1)) > 1"""
+TABLES["best_phrases"] = """
+    SELECT macro_topic, row_number() OVER (PARTITION BY macro_topic ORDER BY g2 DESC, run) AS rank, run, n, n_all::BIGINT AS n_all, g2
+    FROM phrases WHERE n_words >= 2 QUALIFY rank <= 25"""
+NEEDS |= {"told": ["assembled"], "all_runs": ["told"], "runs": ["all_runs"], "phrases": ["runs"], "best_phrases": ["phrases"]}
+ORACLES["frequent_runs"] = statement("SELECT macro_topic, run, n_words, n FROM runs", "runs")
+ORACLES["key_phrases"] = statement(f"SELECT macro_topic, rank, run, n, n_all, {six('g2')} FROM best_phrases", "best_phrases")
+ORACLES["unlike_phrases"] = statement(
+    f""", picked(macro_topic, rank, chosen) AS (
+         SELECT macro_topic, 0::BIGINT, []::VARCHAR[][] FROM best_phrases GROUP BY macro_topic
+         UNION ALL
+         SELECT p.macro_topic, b.rank,
+                CASE WHEN len(chosen) < 10 AND len(list_filter(chosen, lambda c:
+                         len(list_intersect(c, split(b.run, ' '))) > 0.5 * len(list_distinct(c || split(b.run, ' '))))) = 0
+                     THEN list_append(chosen, split(b.run, ' ')) ELSE chosen END
+         FROM picked p JOIN best_phrases b ON b.macro_topic = p.macro_topic AND b.rank = p.rank + 1)
+       SELECT macro_topic, row_number() OVER (PARTITION BY macro_topic ORDER BY rank) AS place, run, n, {six("g2")}
+       FROM best_phrases JOIN (SELECT macro_topic, max(len(chosen)) AS many, arg_max(chosen, rank) AS chosen FROM picked GROUP BY macro_topic)
+            USING (macro_topic)
+       WHERE list_contains(list_transform(chosen, lambda c: array_to_string(c, ' ')), run)""",
+    "best_phrases",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["sketched_lengths"] = statement(
+    """SELECT category, count(*) AS n, min(review_word_count)::DOUBLE AS least,
+              quantile_disc(review_word_count, 0.25)::DOUBLE AS p25, quantile_disc(review_word_count, 0.5)::DOUBLE AS p50,
+              quantile_disc(review_word_count, 0.97)::DOUBLE AS p97, max(review_word_count)::DOUBLE AS most
+       FROM features GROUP BY category""",
+    "features",
+)
+
+TABLES["fine_means"] = """
+    SELECT topic_id, pos, avg(v) AS value
+    FROM (SELECT label * 37 + vec_id % 37 AS topic_id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v
+          FROM embeddings) GROUP BY topic_id, pos"""
+TABLES["fine_cents"] = "SELECT topic_id, list(value ORDER BY pos) AS centroid FROM fine_means GROUP BY topic_id"
+TABLES["fine_scored"] = """
+    SELECT review_id, topic_id, list_cosine_similarity(embedding, centroid) AS similarity
+    FROM vectors, fine_cents WHERE embedding IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY similarity DESC, topic_id) = 1"""
+NEEDS |= {"fine_cents": ["fine_means"], "fine_scored": ["vectors", "fine_cents"]}
+ORACLES["assign_fine_topics"] = statement(
+    f"""SELECT review_id, CAST(CASE WHEN similarity >= {SIMILARITY_THRESHOLD} THEN topic_id ELSE -1 END AS INTEGER) AS topic_id,
+               CASE WHEN similarity >= {SIMILARITY_THRESHOLD} THEN concat('topic_', topic_id) ELSE 'General / Other' END AS macro_topic,
+               round(similarity, 6) AS topic_similarity
+        FROM vectors LEFT JOIN fine_scored USING (review_id)""",
+    "vectors", "fine_scored",
+)

@@ -10,6 +10,7 @@ from plaudit.constants import OTHER_TOPIC
 from plaudit.functions import text as X
 from plaudit.functions.labels import length_tier
 from plaudit.operators import (
+    centroids as centroid_index,
     certainty,
     cleaning,
     companies,
@@ -17,8 +18,10 @@ from plaudit.operators import (
     density,
     discovery,
     models,
+    phrases,
     positioning,
     rootcause,
+    sketches,
     state,
     topics,
     wordodds,
@@ -321,6 +324,19 @@ def assembled_reviews(spark, folder):
     )
 
 
+def fine_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Hundreds of topics: every label in 37 parts."""
+    seeds = table(spark, folder, "embeddings").withColumn("topic_id", (F.col("label") * 37 + F.col("vec_id") % 37).cast("int"))
+    return seeds.select("topic_id", F.concat(F.lit("topic_"), F.col("topic_id")).alias("macro_topic"), "embedding")
+
+
+@query
+def assign_fine_topics(spark, folder):
+    fine = topics.collect_topics(topics.seed_centroids(fine_seeds(spark, folder)))
+    found = centroid_index.assign_by_index(with_vectors(spark, folder), fine)
+    return rounded(found.select("review_id", "topic_id", "macro_topic", "topic_similarity"))
+
+
 @query
 def topic_distribution(spark, folder):
     return rounded(topics.assignment_distribution(assembled(spark, folder)))
@@ -545,3 +561,31 @@ def word_odds(spark, folder):
 def distinctive_words(spark, folder):
     odds = wordodds.word_odds(assembled(spark, folder), sentiment=None)
     return rounded(wordodds.distinctive_words(odds, min_z=1.0))
+
+
+# --- phrases and sketches ------------------------------------------------------------------------
+
+
+@query
+def frequent_runs(spark, folder):
+    return phrases.frequent_runs(assembled(spark, folder))
+
+
+@query
+def key_phrases(spark, folder):
+    scores = phrases.phrase_scores(phrases.frequent_runs(assembled(spark, folder)))
+    return rounded(phrases.ranked_phrases(scores, 25).select("macro_topic", "rank", "run", "n", "n_all", "g2"))
+
+
+@query
+def unlike_phrases(spark, folder):
+    scores = phrases.phrase_scores(phrases.frequent_runs(assembled(spark, folder)))
+    return rounded(phrases.unlike_phrases(phrases.ranked_phrases(scores, 25)))
+
+
+@query
+def sketched_lengths(spark, folder):
+    kept = durable(sketches.quantile_sketches(features(spark, folder), ["category", "company"], "review_word_count"), "sketches")
+    return sketches.sketched_quantiles(
+        sketches.merge_sketches(kept, ["category"]), {"least": 0, "p25": 0.25, "p50": 0.5, "p97": 0.97, "most": 1}
+    ).drop("lowest", "highest")
