@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,16 @@ def test_tokens_are_stripped_and_filtered(spark):
 
     found = [r.word for r in tokens(rows, []).collect()]
     assert found == ["delivery", "parcel", "late", "naïve"]
+
+
+def test_decomposing_holds_no_copies_of_a_batch():
+    texts = ["caf\u00e9 \u00bd " * 4000 for _ in range(100)]
+    batch = pa.array([*texts, None, ""])
+    tracemalloc.start()
+    try:
+        found = X.decomposed(batch)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert found.to_pylist() == ["cafe 12 " * 4000] * 100 + [None, ""]
+    assert peak < 1.5 * sum(map(len, texts))
