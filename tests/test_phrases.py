@@ -42,6 +42,20 @@ def test_runs_are_those_of_brute_force(spark, most, least):
     assert found == brute_runs(rows, most, least)
 
 
+def test_places_are_not_written(spark, monkeypatch):
+    sizes, keep = [], P.durable
+
+    def noted(df, name):
+        table = keep(df, name)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(P, "durable", noted)
+    rows = [(f"t{i % 3}", "the late parcel never came back to the late customer", "x") for i in range(120)]
+    assert P.frequent_runs(reviews(spark, rows), 4, 10).count() > 0
+    assert max(sizes) <= len(rows)  # there are ten places in every text
+
+
 def test_runs_of_nothing(spark):
     assert P.frequent_runs(reviews(spark, [])).count() == 0
     assert P.phrase_scores(P.frequent_runs(reviews(spark, [("t", "one", "x")]))).count() == 0
