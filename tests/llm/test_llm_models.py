@@ -321,6 +321,13 @@ def test_pieces_of_a_block_give_the_same(spark, monkeypatch):
     assert len(whole) == 52
 
 
+def test_few_tokens_are_worked_on_at_once():
+    block = M.Block(0, [0] * 400, np.ones(400, bool), np.full(400, 1000), np.full(400, 1), np.zeros(400_000, np.uint32), np.zeros(1, np.uint64))
+    pieces = [some for _, _, some in block.chunks()]
+    assert pieces[0].start == 0 and pieces[-1].stop == 400_000
+    assert max(some.stop - some.start for some in pieces) <= 125_000
+
+
 def test_counts_in_a_byte():
     counts = np.array([0, 1, 63, 64, 65, 100, 10**6, 4 * 10**9])
     back = M.HELD[M.held_counts(counts)]
