@@ -384,6 +384,122 @@ def test_learning_helps_and_partitions_agree(spark):
     assert (M.learn_weights(units.limit(0), plain) == M.start_weights()).all()
 
 
+def walk_of(spark, texts):
+    blocks, classes, units, model = model_of(spark, texts)
+    held = spark.sparkContext.broadcast(classes)
+    counts = Counter(r.n for r in units.groupBy("spelled").agg(F.sum("n").alias("n")).collect())
+    return [M.Block.of(r.asDict()) for r in blocks.collect()], classes, model, M.learn_walk(blocks, units, held, counts, model)
+
+
+def slow_walk(walk, tokens, kind):
+    """The log10 probability of each token's code after those before it, bit by bit, in plain Python."""
+    mask = (1 << 64) - 1
+    starts, lengths, nodes, bits = walk.tree.value
+
+    def hash32(h):
+        for _ in range(2):
+            h ^= h >> 32
+            h = h * 0xD6E8FEB86659FD93 & mask
+        return (h ^ (h >> 32)) >> 32
+
+    out, known = [], {int(h): k for k, h in enumerate(walk.hashes.value)}
+    for place, token in enumerate(tokens):
+        symbol, total = known.get(token, len(known)), 0.0
+        one, two = (tokens[place - back] if place >= back else 0 for back in (1, 2))
+        contexts = [
+            hash32(one + two * 0xA24BAED4963EE407 + 0x51ED270B & mask), hash32(one + 0x1B873593 & mask),
+            hash32((kind + 1) * 0x9E3779B97F4A7C15 + 0x7FEB352D & mask),
+        ]
+        for at in range(starts[symbol], starts[symbol] + lengths[symbol]):
+            x, seen = [], []
+            for c, h in enumerate(contexts):
+                h = (h + int(nodes[at])) * 0x85EBCA6B & 0xFFFFFFFF
+                h ^= h >> 15
+                slot = (h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - walk.slot_bits)
+                zeros, ones = (int(M.HELD[v]) for v in walk.counts.value[c][2 * slot : 2 * slot + 2])
+                x.append(math.log(ones + M.PRIOR) - math.log(zeros + M.PRIOR))
+                seen.append(zeros + ones)
+            level = [sum(s >= t for t in M.LEVELS[k]) for s, k in zip(seen, (0, 0, 1))]
+            gate = (level[0] * (len(M.LEVELS[0]) + 1) + level[1]) * (len(M.LEVELS[1]) + 1) + level[2]
+            z = max(-M.CLIP, min(M.CLIP, sum(a * b for a, b in zip(walk.weights[gate].tolist(), [*x, M.CONSTANT]))))
+            step = max(-(M.STEPS // 2), min(M.STEPS // 2, round(z * 2))) + M.STEPS // 2
+            z += walk.refined[min(place, M.PLACES - 1) * (len(M.LEVELS[1]) + 1) + level[2], step]
+            total -= math.log1p(math.exp(-z if bits[at] else z))
+        out.append((symbol, total / math.log(10)))
+    return out
+
+
+def test_walk_matches_a_slow_one(spark, monkeypatch):
+    blocks, classes, model, walk = walk_of(spark, two_languages(random.Random(6), 60) + [None, "new"])
+    monkeypatch.setattr(M, "_STEPS", 50)  # texts are cut, what comes before a token is not
+    for block in blocks:
+        kinds, symbols, ends = block.classes(classes), walk.symbols(block.tokens), np.cumsum(block.sizes)
+        for first, last, some in block.chunks():
+            spelled = np.full(some.stop - some.start, -9.0)
+            found = walk.text_logs(block, kinds, symbols, first, last, some, spelled)
+            for i in range(first, min(last, first + 8)):
+                tokens = [int(h) for h in block.tokens[block.refs[ends[i] - block.sizes[i] : ends[i]]]]
+                expected = [
+                    log + (min(-9.0 - walk.others[kinds[i]], 0) if symbol == len(walk.hashes.value) else 0)
+                    for symbol, log in slow_walk(walk, tokens, int(kinds[i]))
+                ]
+                begin = ends[i] - block.sizes[i] - some.start
+                assert found[begin : begin + block.sizes[i]] == pytest.approx(expected, rel=1e-3, abs=1e-4)
+
+
+def test_walk_counts_every_token_of_every_training_text(spark):
+    texts = ["same words come again"] * 30 + ["again come words"] * 20 + ["once"]
+    blocks, classes, model, walk = walk_of(spark, texts)
+    # All codes begin at the root: what is counted there in the context of the class adds up to all tokens.
+    root = walk.tree.value[2][walk.tree.value[0][0]]
+    kinds = {int(k) for block in blocks for k in block.classes(classes)}
+    total = 0
+    for kind in kinds:
+        context = M._hash32(np.array([(kind + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64), 0x7FEB352D)
+        step = M.Step(np.zeros(1, np.int32), [context] * 3, np.zeros(1, np.uint8))
+        slot = int(list(walk.slots(step, np.zeros(1, np.int64), [1], np.array([root], np.uint32)))[2][0])
+        total += int(M.HELD[walk.counts.value[2][2 * slot : 2 * slot + 2]].sum())
+    n = sum(len(tokens_of(t)) for t in texts)
+    assert total == pytest.approx(n, rel=0.05)
+
+
+def test_codes_after_any_tokens_sum_to_one(spark):
+    blocks, classes, model, walk = walk_of(spark, two_languages(random.Random(8), 40))
+    n = len(walk.hashes.value) + 1
+    for one in (0, int(walk.hashes.value[0]), 12345):
+        h = np.full(n, one, np.uint64)
+        contexts = [M._hash32(h, 0x51ED270B), M._hash32(h, 0x1B873593), M._hash32(np.full(n, 0x9E3779B97F4A7C15, np.uint64), 0x7FEB352D)]
+        logs = walk.logs(M.Step(np.arange(n, dtype=np.int32), contexts, np.full(n, 1, np.uint8)))
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+    assert (walk.others <= 0).all() and (walk.others >= math.log10(M.LEAST_REST)).all()
+
+
+def test_the_order_of_tokens_counts(spark):
+    rng = random.Random(12)
+    words = [f"word{k}" for k in range(40)]
+    runs = [" ".join(words[(start + k) % 40] for k in range(30)) for start in (rng.randrange(40) for _ in range(200))]
+    tried = [i for i in range(200, 400) if not trains(i)][:20]
+    ids, texts = [*range(200)], [*runs]
+    for k, i in enumerate(tried):
+        text = runs[k // 2].split()
+        texts.append(" ".join(text if k % 2 == 0 else rng.sample(text, len(text))))
+        ids.append(i)
+    found = {r.doc_id: r.score for r in M.score_documents(table(spark, texts, ids)).collect()}
+    # The same tokens, once each: in the order of the training texts, and in another.
+    for a, b in zip(tried[::2], tried[1::2]):
+        assert found[a] > found[b] + 10
+
+
+def test_words_are_the_most_frequent_tokens(spark):
+    rows = [(f"w{k}".encode(), 0, n, n) for k, n in enumerate([9, 7, 7, 5, 5, 5, 5, 2, 1, 1, 0])]
+    units = spark.createDataFrame(rows, "spelled binary, class int, n long, c long")
+    counts = Counter(r[3] for r in rows)
+    for most, least, at_most in ((20, 8, 8), (8, 8, 8), (3, 3, 3), (5, 3, 7), (0, 0, 0)):
+        found = sorted(r.c for r in M.choose_words(units, counts, most).collect())
+        assert least <= len(found) <= at_most and found == sorted([r[3] for r in rows], reverse=True)[: len(found)][::-1]
+    assert M.choose_words(units, {}, 5).count() == 0
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 
